@@ -41,7 +41,8 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     best = F.max if keep == "largest" else F.min
     rows = docs.select(F.col(doc_id).alias("doc_id"), normalise(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     rows = rows.select("doc_id", "t", F.struct(F.hex(F.substring(F.encode("t", "UTF-8"), 1, PREFIX_BYTES)).alias("p"), F.xxhash64("t").alias("h"), F.coalesce("doc_id", F.lit(-(2**63))).alias("d")).alias("key"))
-    sample = sorted(tuple(r[0]) for r in rows.select("key").orderBy(F.xxhash64("key")).limit(SAMPLES_PER_RANGE * n).collect())
+    share = min(1.0, SAMPLES_PER_RANGE * n / max(1, docs.count()))  # so the driver gets as many keys as there are ranges, times a constant
+    sample = sorted(tuple(r[0]) for r in rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("key").collect())
     cuts = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
     if cuts:
         splitters = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(h).cast("long").alias("h"), F.lit(d).cast("long").alias("d")) for p, h, d in cuts])

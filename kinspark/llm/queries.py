@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip
 from .exact_dedup import exact_duplicates
 from .mixing import mix
+from .toxicity import toxicity
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +24,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_documents(spark, sf_dir), TOKENIZER)
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
+    "op2_bpe": op2,
+    "op5_toxicity": op5,
     "op6_mix_sources": op6,
     "op9_exact_dedup": op9,
 }
