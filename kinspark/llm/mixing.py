@@ -42,45 +42,78 @@ def source_targets(sizes: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), mos
     return x.select("source", "source_size", F.when(F.col("at").isNull() | (F.col("stop") / F.col("w") < F.col("at")), F.col("stop")).otherwise(F.col("w") * F.col("at")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3.0, seed: str = "mix", text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken.
-
-    size: words of the text (null text: 0). copies: how often the mix takes the document, at most ceil(most) times; taken:
-    copies times size. Random numbers come from the id and seed, so reruns agree; ties (ids that repeat) go by size. Null
-    sources are one source of their own; a source of no words takes nothing. The last document of each source's
-    sample is the one whose size fits what is still missing best, if taking it brings the source nearer to its target.
-    Other columns of docs are ignored. An empty table gives an empty result.
-    """
+def _drawn(docs: DataFrame, seed: str, text: str, doc_id: str, source: str) -> DataFrame:
+    """docs as a struct, with what the draw needs of each row: id, source, size and a random number from the id and seed."""
     hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), ((F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))).alias("u"))
-    rows = stored(rows, "mix-sizes")
+    number = (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
+    return docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), number.alias("u"))
+
+
+def _ranked(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """rows with their source's columns in targets, and their place in the Pareto order: odds, and its bin."""
+    x = rows.alias("x").join(targets.alias("t"), F.col("x.source").eqNullSafe(F.col("t.source"))).drop(F.col("t.source"))
+    odds = F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+    return x.withColumn("odds", odds).withColumn("bin", F.floor(F.col("odds") / (1 + F.col("odds")) * BINS))
+
+
+def _taken_in_order() -> Column:
+    at_border = (F.col("bin") == F.col("border")) & (F.struct("odds", "doc_id", "size") <= F.col("cut"))
+    return F.coalesce(F.col("p") > 0, F.lit(False)) & F.coalesce((F.col("bin") < F.col("border")) | at_border, F.lit(False))
+
+
+def mix_plan(rows: DataFrame, weights: list[float], most: float) -> DataFrame:
+    """One row for each source (rows: what _drawn gives, without row, stored): source_size, target, the certain copies, the
+    chance p of one more, and where the Pareto order is cut: border (bin), cut (place in it) and last (one more document)."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = small(stored(source_targets(sizes, list(weights), most), "mix-targets"))
-    x = rows.alias("x").join(targets.alias("t"), F.col("x.source").eqNullSafe(F.col("t.source"))).select("x.*", "source_size", "target")
+    targets = source_targets(sizes, list(weights), most)
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    x = x.withColumn("sure", F.floor(due)).withColumn("p", due - F.floor(due))
-    x = x.withColumn("odds", F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
-    x = x.withColumn("bin", F.floor(F.col("odds") / (1 + F.col("odds")) * BINS))
-    x = x.withColumn("missing", F.col("target") - F.col("sure") * F.col("source_size"))
+    targets = targets.withColumn("sure", F.floor(due)).withColumn("p", due - F.floor(due)).withColumn("missing", F.col("target") - F.col("sure") * F.col("source_size"))
+    targets = stored(targets, "mix-targets")
+    x = _ranked(rows, small(targets))
 
     bins = x.where("p > 0").groupBy("source", "bin").agg(F.sum("size").alias("in_bin"), F.first("missing").alias("missing"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = bins.withColumn("before", F.sum("in_bin").over(upto) - F.col("in_bin"))
-    border = bins.where(F.col("before") <= F.col("missing")).groupBy("source").agg(F.max_by("bin", "bin").alias("border"), F.max_by("before", "bin").alias("before"))
-    border = small(stored(border, "mix-borders"))
-    x = x.alias("x").join(border.alias("t"), F.col("x.source").eqNullSafe(F.col("t.source")), "left").select("x.*", "border", "before")
+    border = bins.where(F.col("before") <= F.col("missing")).groupBy("source").agg(F.max("bin").alias("border"), F.max_by("before", "bin").alias("before"))
+
+    def with_borders(columns: DataFrame, name: str) -> DataFrame:
+        return stored(targets.alias("t").join(columns.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").drop(F.col("c.source")), name)
 
+    borders = with_borders(border, "mix-borders")
     in_rank = Window.partitionBy("source").orderBy("odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = x.where("bin = border").withColumn("upto", F.col("before") + F.sum("size").over(in_rank)).withColumn("more", (F.col("upto") <= F.col("missing")).cast("long"))
-    rest = x.where("border is null or bin is null or bin <> border").withColumn("upto", F.lit(None).cast("long")).withColumn("more", F.when(F.col("bin") < F.col("border"), 1).otherwise(0).cast("long"))
-    x = stored(edge.unionByName(rest), "mix-ranked")
-
-    gap = x.groupBy("source").agg((F.first("missing") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
-    gap = small(stored(gap.where("gap > 0"), "mix-gaps"))
-    left_over = x.where("p > 0 and more = 0 and size > 0").alias("x").join(gap.alias("t"), F.col("x.source").eqNullSafe(F.col("t.source"))).where("size < 2 * gap")
-    last = left_over.groupBy("x.source").agg(F.min_by(F.struct("doc_id", "size", "odds"), F.struct(F.abs(F.col("size") - F.col("gap")), F.col("odds"), F.col("doc_id"))).alias("last"))
-    last = small(stored(last, "mix-last"))
-    x = x.alias("x").join(last.alias("t"), F.col("x.source").eqNullSafe(F.col("t.source")), "left").select("x.*", "last")
-    is_last = F.coalesce((F.col("more") == 0) & F.col("doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("size") == F.col("last.size")), F.lit(False))
-    copies = (F.col("sure") + F.col("more") + is_last.cast("long")).cast("long")
-    return x.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    edge = _ranked(rows, small(borders)).where("bin = border").withColumn("upto", F.col("before") + F.sum("size").over(in_rank))
+    targets = borders
+    cuts = with_borders(edge.where("upto <= missing").groupBy("source").agg(F.max(F.struct("odds", "doc_id", "size")).alias("cut")), "mix-cuts")
+
+    x = _ranked(rows, small(cuts)).where("p > 0").withColumn("in", _taken_in_order())
+    gap = x.groupBy("source").agg((F.first("missing") - F.sum(F.when(F.col("in"), F.col("size")).otherwise(0))).alias("gap"))
+    targets = cuts
+    gaps = with_borders(gap, "mix-gaps")
+    left_over = _ranked(rows, small(gaps)).where(~_taken_in_order()).where("p > 0 and size > 0 and size < 2 * gap")
+    targets = gaps
+    last = left_over.groupBy("source").agg(F.min_by(F.struct("odds", "doc_id", "size"), F.struct(F.abs(F.col("size") - F.col("gap")), F.col("odds"), F.col("doc_id"))).alias("last"))
+    return with_borders(last, "mix-last")
+
+
+def mixed(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3.0, seed: str = "mix", text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """row (all columns of docs, as a struct) and what mix gives, for each row of docs. The plan is a row for each source, so
+    texts are neither sorted nor shuffled."""
+    rows = _drawn(docs, seed, text, doc_id, source)
+    plan = small(mix_plan(stored(rows.drop("row"), "mix-sizes"), weights, most))
+    x = _ranked(rows, plan)
+    is_last = F.coalesce(F.struct("odds", "doc_id", "size") == F.col("last"), F.lit(False)) & ~_taken_in_order()
+    copies = (F.col("sure") + _taken_in_order().cast("long") + is_last.cast("long")).cast("long")
+    x = x.withColumn("copies", copies)
+    return x.select("row", "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3.0, seed: str = "mix", text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken.
+
+    size: words of the text (null text: 0). copies: how often the mix takes the document, at most ceil(most) times; taken:
+    copies times size. Random numbers come from the id and seed, so reruns agree; ties (ids that repeat) go by size, and
+    rows that are equal in id, source and size share one fate. Null sources are one source of their own; a source of no words
+    takes nothing. The last document of each source's sample is the one whose size fits what is still missing best, if taking
+    it brings the source nearer to its target. Other columns of docs are ignored. An empty table gives an empty result.
+    """
+    return mixed(docs, weights, most, seed, text, doc_id, source).drop("row")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import round_trip
 from .exact_dedup import exact_duplicates
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .toxicity import toxicity
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -32,7 +33,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
+    "op4_near_dedup": op4,
     "op2_bpe": op2,
     "op5_toxicity": op5,
     "op6_mix_sources": op6,
