@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip
 from .exact_dedup import exact_duplicates
+from .licenses import oracle as licence_sql
+from .licenses import scan_licences
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .quality import resample
+from .topk import top_k
 from .toxicity import toxicity
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -43,7 +47,23 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_documents(spark, sf_dir))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return resample(_documents(spark, sf_dir), good)
+
+
 QUERIES = {
+    "op3_licenses": op3,
+    "op7_topk": op7,
+    "op10_quality": op10,
     "pipeline": pipeline,
     "op4_near_dedup": op4,
     "op2_bpe": op2,
@@ -53,6 +73,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_licenses": licence_sql(),
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
