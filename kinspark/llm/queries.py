@@ -11,6 +11,7 @@ from .licenses import scan_licences
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import resample
+from .suffix_dedup import repeated_passages
 from .topk import top_k
 from .toxicity import toxicity
 
@@ -60,7 +61,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_documents(spark, sf_dir), good)
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_suffix_dedup": op1,
     "op3_licenses": op3,
     "op7_topk": op7,
     "op10_quality": op10,
