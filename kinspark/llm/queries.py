@@ -8,6 +8,7 @@ from .bpe import round_trip
 from .exact_dedup import exact_duplicates
 from .licenses import oracle as licence_sql
 from .licenses import scan_licences
+from .lm import lm_scores
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import resample
@@ -65,7 +66,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_documents(spark, sf_dir))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_documents(spark, sf_dir), TOKENIZER)
+
+
 QUERIES = {
+    "op8_lm_score": op8,
     "op1_suffix_dedup": op1,
     "op3_licenses": op3,
     "op7_topk": op7,
