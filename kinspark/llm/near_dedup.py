@@ -4,9 +4,11 @@ Each shingle's arrivals are a Poisson process whose rate is its weight (its coun
 register, and a register keeps the shingle that hits it first. Two texts agree in a register with the chance of their
 probability Jaccard similarity. A text's processes stop once no later arrival can come first anywhere.
 
-Identical texts are one class before anything else. Texts that share a band are linked to a hub of their bucket first; only
-members that are still outside the bucket's largest component are compared further, at last with every member of
-another component. So no bucket, however large, is expanded into all its pairs, and none is capped.
+Identical texts are one class before anything else. Texts that share a band are compared with the first of their bucket.
+Larger buckets then join into groups, by the members they have in common. What is linked to a group's largest component
+is done; the others are compared with the whole group, in blocks: first by registers, then in full those that registers
+leave possible and that aren't linked yet. Members of small buckets outside of groups are compared pair by pair. So no
+bucket, however large, is expanded into all its pairs, and none is capped.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from .util import as_bytes, binary_rows, chunks, small, stored
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6  # a pair at 0.8 meets in some band with chance 0.99994
-HUB_ROUNDS = 3
+SMALL_BUCKET = 6  # buckets of more members are compared in blocks
+BLOCK_ROWS = 256
+LEAST_AGREEMENT = 0.66  # of registers; at 0.8 as many agree but for one pair in a million
 _PLACES = H.CODES[:64]
 
 
@@ -117,7 +121,54 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in chunks(offsets):
             text, names, counts = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             ends = np.cumsum(np.bincount(text, minlength=b - a))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), binary_rows(names, ends), binary_rows(counts.astype(np.uint32), ends)], names=["doc_id", "names", "counts"])
+            low = prob_minhash(text, names, counts, b - a).astype(np.uint32)
+            registers = binary_rows(low.ravel(), np.arange(1, b - a + 1) * low.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), binary_rows(names, ends), binary_rows(counts.astype(np.uint32), ends), registers], names=["doc_id", "names", "counts", "registers"])
+
+
+def _compare_blocks(threshold: float):
+    """Links between the two blocks of a pair (or within one) that join what isn't linked: pairs in the order of agreeing
+    registers, each compared in full unless others have linked its two texts already."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("second", "ascending"), ("doc_id", "ascending")])
+        ids, labels = table["doc_id"].to_numpy(), table["label"].to_numpy()
+        second = np.asarray(table["second"].to_pylist(), bool)
+        m = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in table["registers"]])
+        names, counts = table["names"].to_pylist(), table["counts"].to_pylist()
+        sets: dict = {}
+
+        def of(i):
+            if i not in sets:
+                sets[i] = np.frombuffer(names[i], np.uint64), np.frombuffer(counts[i], np.uint32)
+            return sets[i]
+
+        left, right = np.flatnonzero(~second), np.flatnonzero(second)
+        within = not len(right)
+        right = left if within else right
+        pairs = []
+        for i in left:
+            agree = (m[right] == m[i]).mean(1)
+            ok = (agree >= LEAST_AGREEMENT) & (labels[right] != labels[i]) & (right > i if within else True)
+            pairs += [(-a, i, j) for a, j in zip(agree[ok].tolist(), right[ok].tolist(), strict=True)]
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        a, b, sim = [], [], []
+        for _, i, j in sorted(pairs):
+            x, y = find(labels[i]), find(labels[j])
+            if x != y and (got := similarity(of(i), of(j))) >= threshold:
+                root[x] = y
+                a.append(min(ids[i], ids[j]))
+                b.append(max(ids[i], ids[j]))
+                sim.append(got)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(sim, pa.float64())})
+
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,44 +205,53 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs: doc_id, copy_of (smallest id with the same text), class_id (smallest id of all that are
     linked, by copies or by a similarity of threshold or more, directly or through others), n_links (links that were verified
-    for the text of copy_of), kept (doc_id is class_id).
+    for the text of copy_of; links inside a class that is connected without them need no verification), kept (doc_id is class_id).
 
     Null counts as an empty text; texts without words are linked to exact copies only. A null id: the row stands alone, with
-    null copy_of and class_id, and is kept. Rows that repeat an id share its class. Other columns are ignored.
+    null copy_of and class_id, and is kept. Rows that repeat an id share its class; if their texts differ, they link what their texts are
+    linked to. Other columns are ignored. An empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     signed = stored(rows.mapInArrow(_sign, "doc_id long, digest binary, bands array<long>"), "near-signed")
-    known = signed.where("doc_id is not null")
-    first = stored(known.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "near-copies")
+    first = stored(signed.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "near-copies")
     member = stored(signed.join(first, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"), "bands"), "near-members")
-    keys = member.where("doc_id = copy_of").select(F.col("doc_id"), F.explode("bands").alias("key")).distinct()
-    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    keys = member.where("doc_id = copy_of").select("doc_id", F.explode("bands").alias("key")).distinct()
+    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = stored(keys.join(hubs, "key"), "near-buckets")
 
     involved = stored(buckets.select("doc_id").distinct(), "near-involved")
     own = rows.where("doc_id is not null").join(small(involved), "doc_id").join(small(stored(member.where("doc_id <> copy_of").select("doc_id").distinct(), "near-others")), "doc_id", "left_anti")
-    sets = stored(own.dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, names binary, counts binary"), "near-sets")
+    sets = stored(own.dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, names binary, counts binary, registers binary"), "near-sets")
 
     tested = _verified(buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), sets)
-    for turn in range(HUB_ROUNDS + 1):
-        labels = components(tested.where(F.col("similarity") >= threshold))
-        placed = buckets.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-        sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all")).where("parts > 1").drop("parts")
-        placed = stored(placed.join(main, "key"), "near-placed")
-        outside = placed.where("label <> main")
-        last = turn == HUB_ROUNDS or (outside.agg(F.sum("all")).first()[0] or 0) <= 4 * max(1, involved.count()) * BANDS
-        if last:
-            other = placed.select("key", F.col("doc_id").alias("other"), F.col("label").alias("other_label"))
-        else:
-            inside = placed.where("label = main").groupBy("key").agg(*[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(3 * turn + i))).alias(f"h{i}") for i in range(3)])
-            other = inside.select("key", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("other")).withColumn("other_label", F.lit(None).cast("long"))
-        pairs = outside.join(other, "key").where("doc_id <> other and (other_label is null or label <> other_label)")
-        pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = stored(tested.unionByName(_verified(pairs, sets)), "near-tested")
-        if last:
-            break
-    links = stored(tested.where(F.col("similarity") >= threshold), "near-links")
+    links = tested.where(F.col("similarity") >= threshold)
+
+    # groups of large buckets, in blocks
+    groups = components(buckets.where((F.col("n") > SMALL_BUCKET) & (F.col("doc_id") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()).withColumnRenamed("label", "grp")
+    placed = stored(groups.join(components(links), "doc_id", "left").select("doc_id", "grp", F.coalesce("label", "doc_id").alias("label")), "near-placed")
+    sizes = placed.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    x = placed.join(stored(main, "near-main"), "grp").withColumn("inside", F.col("label") == F.col("main"))
+    x = x.withColumn("outer_blocks", blocks(F.col("n_all") - F.col("n_main"))).withColumn("inner_blocks", blocks(F.col("n_main")))
+    x = x.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("inside"), F.col("inner_blocks")).otherwise(F.col("outer_blocks"))).cast("int"))
+    # a text outside meets its own block, the other outer ones, and the inner ones, whose numbers follow; one inside meets the outer ones
+    x = x.withColumn("block", F.when(F.col("inside"), F.col("block") + F.col("outer_blocks")).otherwise(F.col("block")))
+    meets = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("outer_blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer_blocks") + F.col("inner_blocks") - 1))
+    x = x.select("doc_id", "grp", "label", "block", F.explode(meets).alias("other"))
+    x = x.select("doc_id", "label", "grp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") > F.col("other")).alias("second"))
+    x = x.join(sets, "doc_id").groupBy("grp", "one", "two")
+    links = stored(links.unionByName(x.applyInArrow(_compare_blocks(threshold), "a long, b long, similarity double")).dropDuplicates(["a", "b"]), "near-links")
+
+    # small buckets, unless a group holds all their members
+    labels = components(links).join(groups, "doc_id", "full")
+    near = buckets.where(F.col("n") <= SMALL_BUCKET).join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"), "grp")
+    open_ = near.groupBy("key").agg((F.max("label") > F.min("label")).alias("apart"), (F.coalesce(F.max("grp") > F.min("grp"), F.lit(True)) | (F.count("grp") < F.count(F.lit(1)))).alias("mixed")).where("apart and mixed").select("key")
+    near = stored(near.join(open_, "key"), "near-small")
+    left, right = near.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la")), near.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
+    pairs = left.join(right, "key").where("a < b and la <> lb").select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    links = stored(links.unionByName(_verified(pairs, sets).where(F.col("similarity") >= threshold)), "near-links")
+
     labels = components(links).select(F.col("doc_id").alias("copy_of"), "label")
     degree = links.select(F.explode(F.array("a", "b")).alias("copy_of")).groupBy("copy_of").agg(F.count(F.lit(1)).alias("n_links"))
     classes = stored(labels.join(degree, "copy_of", "left"), "near-classes")
