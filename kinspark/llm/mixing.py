@@ -37,8 +37,7 @@ def source_targets(sizes: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), mos
     below, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum("stop").over(below), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(below), F.lit(0.0)))
     x = x.withColumn("level", level).withColumn("free", F.col("level") <= F.col("stop") / F.col("w"))
-    x = x.withColumn("at", F.min(F.when(F.col("free"), F.struct(F.col("stop") / F.col("w"), F.col("level"))))
-                     .over(every)["level"])
+    x = x.withColumn("at", F.max(F.when(F.col("free"), F.col("level"))).over(every))  # levels fall behind the first free source
     return x.select("source", "source_size", F.when(F.col("at").isNull() | (F.col("stop") / F.col("w") < F.col("at")), F.col("stop")).otherwise(F.col("w") * F.col("at")).alias("target"))
 
 
