@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NO_FEATURE = 2**63 - 1  # signature value of an empty set
@@ -51,8 +51,12 @@ def signatures(sets: DataFrame, n_hashes: int, universe: int, seed: int = 0) ->
 def signatures_by_expression(sets: DataFrame, n_hashes: int, universe: int, seed: int = 0) -> DataFrame:
     """The same by array functions alone; for few hash functions."""
     ab, p = hash_parameters(n_hashes, max(universe, 1), seed)
-    each = [F.coalesce(F.array_min(F.transform("fids", lambda x, a=a, b=b: (F.lit(a).cast("long") * x + F.lit(b).cast("long")) % F.lit(p).cast("long"))), F.lit(NO_FEATURE)) for a, b in ab]
-    return sets.select("pid", F.array(*each).alias("sig"))
+    prime = F.lit(p).cast("long")
+
+    def least(a: int, b: int) -> Column:
+        return F.coalesce(F.array_min(F.transform("fids", lambda x: (F.lit(a).cast("long") * x + F.lit(b).cast("long")) % prime)), F.lit(NO_FEATURE))
+
+    return sets.select("pid", F.array(*[least(a, b) for a, b in ab]).alias("sig"))
 
 
 def layouts(n_hashes: int) -> list[tuple[int, int]]:
