@@ -116,3 +116,22 @@ def mix(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3
     it brings the source nearer to its target. Other columns of docs are ignored. An empty table gives an empty result.
     """
     return mixed(docs, weights, most, seed, text, doc_id, source).drop("row")
+
+
+SQL = r"""
+    WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                 (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM d GROUP BY source),
+    o AS (SELECT *, 3 * CAST(source_size AS DOUBLE) AS stop FROM s),
+    l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(stop) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM o
+          WINDOW b AS (ORDER BY stop / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    m AS (SELECT *, max(CASE WHEN level <= stop / w THEN level END) OVER () AS lvl FROM l),
+    t AS (SELECT source, source_size, CASE WHEN lvl IS NULL OR stop / w < lvl THEN stop ELSE w * lvl END AS target FROM m),
+    p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS due FROM t),
+    q AS (SELECT d.*, p.source_size, p.target, floor(due) AS sure, due - floor(due) AS p, p.target - floor(due) * p.source_size AS missing FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+    r AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM q),
+    c AS (SELECT *, p > 0 AND sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds, doc_id, size ROWS UNBOUNDED PRECEDING) <= missing AS more FROM r),
+    g AS (SELECT *, missing - sum(CASE WHEN more THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
+    f AS (SELECT *, CASE WHEN p > 0 AND NOT more AND size > 0 AND size < 2 * gap THEN row_number() OVER (PARTITION BY source, p > 0 AND NOT more AND size > 0 AND size < 2 * gap ORDER BY abs(size - gap), odds, doc_id) END AS nth FROM g),
+    n AS (SELECT *, CAST(sure + CAST(more AS INTEGER) + CASE WHEN nth = 1 THEN 1 ELSE 0 END AS BIGINT) AS copies FROM f)
+    SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM n"""

@@ -9,6 +9,7 @@ from .exact_dedup import exact_duplicates
 from .licenses import oracle as licence_sql
 from .licenses import scan_licences
 from .lm import lm_scores
+from .mixing import SQL as mix_sql
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import resample
@@ -86,6 +87,7 @@ QUERIES = {
 
 SQL = {
     "op3_licenses": licence_sql(),
+    "op6_mix_sources": mix_sql,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
