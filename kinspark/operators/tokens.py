@@ -32,14 +32,14 @@ def token_arrays(products: DataFrame) -> DataFrame:
     used = F.concat(F.transform("ratios", lambda r: r["a"]), F.transform("ratios", lambda r: r["b"]), F.transform("dims", lambda d: d["n"]), F.transform("typed_mixed", lambda m: m["n"]))
     x = x.withColumn("free", F.array_except("numbers", used))
 
-    def typed(n: Column) -> Column:
-        near = T.number_contexts(n, F.col("ctxs"))
-        fraction = F.get(F.flatten(F.transform(near, T.fraction_values)), F.lit(0))
-        rounded = T.round_half_up(F.coalesce(fraction, n.cast("double"))).cast("string")
-        return F.concat(rounded, F.lit("_"), T.infer_label(rounded, near))
+    # one array a step: an expression that a lambda uses twice would be evaluated twice
+    x = x.withColumn("near", F.transform("free", lambda n: F.struct(n.alias("n"), T.number_contexts(n, F.col("ctxs")).alias("ctxs"))))
+    x = x.withColumn("near", F.transform("near", lambda m: F.struct(F.coalesce(F.get(F.flatten(F.transform(m["ctxs"], T.fraction_values)), F.lit(0)), m["n"].cast("double")).alias("value"), m["ctxs"].alias("ctxs"))))
+    x = x.withColumn("near", F.transform("near", lambda m: F.struct(T.round_half_up(m["value"]).cast("string").alias("n"), m["ctxs"].alias("ctxs"))))
+    x = x.withColumn("typed_free", F.transform("near", lambda m: F.concat(m["n"], F.lit("_"), T.infer_label(m["n"], m["ctxs"]))))
 
     united = lambda a: F.transform(a, lambda m: F.concat(T.no_leading_zeros(m["n"]), F.lit("_"), m["unit"]))
-    both = F.concat(F.transform("ratios", lambda r: F.concat(r["a"], F.lit(":"), r["b"], F.lit("_ratio"))), united("dims"), F.col("mixed"), united("typed_mixed"), F.transform("free", typed))
+    both = F.concat(F.transform("ratios", lambda r: F.concat(r["a"], F.lit(":"), r["b"], F.lit("_ratio"))), united("dims"), F.col("mixed"), united("typed_mixed"), F.col("typed_free"))
     x = x.withColumn("typed", F.array_distinct(both))
     return x.select("pid", "base", "typed", F.array_union("typed", "free").alias("combined"))
 

@@ -69,10 +69,16 @@ def load_results(spark: SparkSession, path: str, total_pairs: float = 187578.0)
     return spark.read.csv(path, header=True, schema=RESULT_SCHEMA).withColumn("frac_comp", F.col("cand_pairs_lsh") / F.lit(total_pairs)).orderBy("frac_comp", "r", "b")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it has fewer partitions, since text work costs far more than moving a small table; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parts_as_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products made of the part table: names and brands as models, types as shops, with attributes of every shape that the text
     functions tell apart."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = spread(spark.read.parquet(f"{sf_dir}/part.parquet"))
     s, k = F.col("p_size").cast("string"), F.col("p_partkey")
     case = lambda *values: F.element_at(F.array(*values), (k % len(values) + 1).cast("int"))
     c = F.concat
