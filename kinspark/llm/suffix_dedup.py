@@ -25,8 +25,9 @@ from .util import as_bytes, binary_rows, chunks, partitions, small, stored
 
 LENGTH, KGRAM = 50, 20
 AROUND = LENGTH - KGRAM  # a minimizer lies up to so many bytes behind its string's start
-FLUSH = 3_000_000  # minimizers that a task gathers before it sends them on
-PART_BYTES = 6 << 20  # text of one suffix array, about
+FLUSH = 2_000_000  # minimizers that a task gathers before it sends them on
+CUT_BYTES = 24 << 20  # bytes of segments likewise
+PART_BYTES = 3 << 20  # text of one suffix array, about
 BORDER = 0xFF  # never a byte of UTF-8 text; ends each segment
 HOT_SHARE = 50  # a minimizer is hot if it makes up more than a part's mean load divided by this
 
@@ -264,9 +265,17 @@ _SEGS_SQL = "part int, doc_id long, starts binary, ends binary, docs binary, nam
 
 
 def _gathered_bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Spans of data end to end; places are made out for a megabyte at a time, being eight times as large as the bytes."""
     ends = np.cumsum(size)
-    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(start, size)
-    return data[at]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, data.dtype)
+    i = 0
+    while i < len(size):
+        done = int(ends[i] - size[i])
+        j = max(i + 1, int(np.searchsorted(ends, done + (1 << 20), side="right")))
+        n = size[i:j]
+        out[done : int(ends[j - 1])] = data[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[i:j], n)]
+        i = j
+    return out
 
 
 def _cut(parts: int, hot):
@@ -323,7 +332,7 @@ def _cut(parts: int, hot):
                 raw = _gathered_bytes(part, first, last - first + LENGTH)
                 held.append((key, route, ids[a:b][of], first - own[of], last - own[of], raw))
                 n += len(raw)
-                if n > 48 << 20:
+                if n > CUT_BYTES:
                     yield from flush(held)
                     held, n = [], 0
         if n:
