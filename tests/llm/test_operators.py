@@ -323,15 +323,17 @@ def test_language_model(docs, empty):
 def test_attention_gradients_and_causality():
     r = np.random.default_rng(1)
     w = {k: x.astype(float) for k, x in lm.start_weights().items()}
-    bigram = np.full((lm.CLASSES, lm.CLASSES), -np.log(lm.CLASSES))
-    x, before, target = (r.integers(0, 40, (3, lm.BLOCK)) for _ in range(3))
+    chances = r.dirichlet(np.ones(lm.CLASSES), lm.CLASSES)
+    bigram = lm.Bigrams(np.log(chances), lm.grouped(np.log(chances)))
+    x, before = (r.integers(0, 40, (3, lm.BLOCK)) for _ in range(2))
+    target = r.integers(0, lm.GROUPS, (3, lm.BLOCK))
     opening = np.array([True, False, False])
 
     def loss(w):
-        logits = lm.attend(w, x, before, opening)[-1].reshape(-1, lm.WIDTH) @ w["u"].T + bigram[x.ravel()]
+        logits = lm.attend(w, x, before, opening)[-1].reshape(-1, lm.WIDTH) @ w["u"].T + bigram.by[x.ravel()]
         return float(np.mean(np.log(np.exp(logits).sum(1)) - logits[np.arange(len(logits)), target.ravel()]))
 
-    g = lm.gradients(w, bigram, x, before, target, opening)
+    g = lm.gradients(w, bigram.by, x, before, target, opening)
     for k in w:
         at = np.unravel_index(int(np.argmax(np.abs(g[k]))), w[k].shape)
         step = {**w, k: w[k].copy()}
@@ -339,14 +341,22 @@ def test_attention_gradients_and_causality():
         up = loss(step)
         step[k][at] -= 2e-5
         assert (up - loss(step)) / 2e-5 == pytest.approx(g[k][at], rel=1e-3, abs=1e-7)
+
+    def scored(ids):
+        x, target, opening = lm.blocks(ids, np.array([0, 60, 100]))
+        assert (target.ravel() >= 0).sum() == 100
+        return lm.log_chances(lm.start_weights(), bigram, x, target, opening).ravel()[target.ravel() >= 0]
+
     ids = r.integers(1, 40, 100).astype(np.int32)
-    rows = lm.blocks(ids, np.array([0, 60, 100]))
-    assert (rows[1].ravel() >= 0).sum() == 100
-    full = lm.log_chances(lm.start_weights(), bigram.astype(np.float32), *rows).ravel()[rows[1].ravel() >= 0]
+    full = scored(ids)
+    each = []
+    for c in range(lm.CLASSES):  # chances of the next class add up to one
+        ids[70] = c
+        each.append(scored(ids)[70])
+    assert np.exp(each).sum() == pytest.approx(1, abs=1e-3)
     ids[50:60] = 1
-    other = lm.blocks(ids, np.array([0, 60, 100]))
-    again = lm.log_chances(lm.start_weights(), bigram.astype(np.float32), *other).ravel()[other[1].ravel() >= 0]
-    assert np.allclose(full[:50], again[:50]) and np.allclose(full[60:], again[60:])
+    again = scored(ids)
+    assert np.allclose(full[:50], again[:50]) and np.allclose(full[60:70], again[60:70])
 
 
 def test_hashes_don_t_depend_on_place():
