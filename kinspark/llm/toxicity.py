@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from . import wordhash as H
 from .util import arrow_table, as_bytes, chunks
 
-TRAINING_ROWS = 6000  # labelled documents that training takes at most, by hash of their ids
+TRAINING_ROWS = 5000  # labelled documents that training takes at most, by hash of their ids
 MOST_FEATURES = 50_000  # weights that a model keeps at most, the largest ones
 LEAST_EVIDENCE = 12.0  # log-likelihood ratio that a feature needs to be used
+OFTEN = 50  # documents from which a feature counts as frequent in training
 BEGINNINGS = (3, 4, 5, 6, 7, 8)  # bytes of a word's beginning that count as a feature besides the whole word
 STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?\n"]] = True
@@ -104,17 +105,39 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 300, rate: float =
     """Adagrad over the whole sample. Features with little evidence for or against the label are left out: of so many
     rare ones, some follow the labels by chance."""
     data, offsets = as_bytes(texts)
+    y = np.asarray(labels, float)
+    if not len(y):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
+
+    def pieces():
+        for a, b in chunks(offsets):
+            piece, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            starts, of = sentences(piece, own)
+            yield starts, of + a, features(piece, own, starts, of)
+
+    # counts by the hash's low bits, never below a feature's own, rule out what can't have the evidence; so memory stays small
+    having, toxic_having = np.zeros((2, 1 << BLOOM_BITS), np.int32)
+    low = np.uint64((1 << BLOOM_BITS) - 1)
+    for _, of, found in pieces():
+        for sentence, names in found:
+            pairs = np.unique((of[sentence] << BLOOM_BITS) | (names & low).astype(np.int64))
+            bucket = pairs & ((1 << BLOOM_BITS) - 1)
+            np.add.at(having, bucket, 1)
+            np.add.at(toxic_having, bucket[y[pairs >> BLOOM_BITS] > 0], 1)
+    n, toxic = len(y), y.sum()
+    alone = np.arange(n + 1.0)
+    enough = lambda seen: int(np.argmax(np.append(seen >= LEAST_EVIDENCE, True)))
+    least_toxic, least_clean = enough(evidence(alone, np.minimum(alone, toxic), n, toxic)), enough(evidence(alone, np.maximum(alone - (n - toxic), 0), n, toxic))
+    possible = (toxic_having >= max(1, least_toxic)) | (having >= max(1, least_clean))
+    often = np.flatnonzero(having >= OFTEN)  # few features are frequent, so a bucket's evidence is that of its frequent one
+    possible[often] = evidence(having[often], toxic_having[often], n, toxic) >= LEAST_EVIDENCE / 2
     parts, base, owner = [], 0, []
-    for a, b in chunks(offsets):
-        piece, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        starts, of = sentences(piece, own)
-        for sentence, names in features(piece, own, starts, of):
-            parts.append((names, (sentence + base).astype(np.int32)))
+    for starts, of, found in pieces():
+        for sentence, names in found:
+            may = possible[names & low]
+            parts.append((names[may], (sentence[may] + base).astype(np.int32)))
         base += len(starts)
-        owner.append(of + a)
-    y = np.asarray(labels, float)
-    if not len(y) or not parts:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -5.0)
+        owner.append(of)
     owner = np.concatenate(owner)
     names, sentence = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((sentence, names))
