@@ -23,7 +23,7 @@ from .util import as_bytes, chunks
 
 # fixed values of byte-level BPE: the pattern that splits a text into words
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED = 400_000  # words whose ids a worker keeps at most
+REMEMBERED = 250_000  # words whose ids a worker keeps at most
 NONE = 1 << 30  # rank of a pair that doesn't merge
 SIDE_BY_SIDE = 256  # words of up to so many bytes share an array
 
@@ -238,7 +238,7 @@ def _mapped(docs: DataFrame, path: str, columns: dict[str, str], run, types: dic
         own = codec(file.value)
         for batch in source:
             _, offsets = as_bytes(batch.column(1)) if pa.types.is_string(batch.column(1).type) or pa.types.is_large_string(batch.column(1).type) else (None, None)
-            pieces = chunks(offsets, 4 << 20) if offsets is not None else [(0, batch.num_rows)]
+            pieces = chunks(offsets, 2 << 20) if offsets is not None else [(0, batch.num_rows)]
             for a, b in pieces:
                 part = batch.slice(a, b - a)
                 results = run(own, part.column(1))
