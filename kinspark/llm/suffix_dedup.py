@@ -361,15 +361,45 @@ def repeats(text: np.ndarray, size: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.delete(out, ends + np.arange(len(size)))
 
 
-def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges to remove, by document: those that tasks reported, and those that a part's suffix arrays show."""
+def _sorted(parts: int):
+    """Ranges to remove: those that tasks reported, and those that a part's suffix arrays show; one row for each part that the
+    ranges' documents go to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)), *_ranges(batches)]
+        docs, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+        part = docs % parts
+        order = np.lexsort((starts, docs, part))
+        which, begin = np.unique(part[order], return_index=True)
+        if len(which):
+            upto = np.append(begin[1:], len(order))
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *[binary_rows(x[order], upto) for x in (docs, starts, ends)]], names=["part", "docs", "starts", "ends"])
+
+    return run
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of a part, with all its ranges."""
+    kinds = {"docs": np.int64, "starts": np.uint32, "ends": np.uint32}
+    got = {k: [np.zeros(0, kind)] for k, kind in kinds.items()}
+    for batch in batches:
+        for k, kind in kinds.items():
+            got[k] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(k)]
+    docs, starts, ends = (np.concatenate(x) for x in got.values())
+    own, packed = _by_doc(docs, starts, ends)
+    yield pa.RecordBatch.from_arrays([pa.array(own), *packed], names=["doc_id", "starts", "ends"])
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents, starts and ends of ranges."""
     cols = {k: [] for k in ("starts", "ends", "docs", "names", "bytes")}
     kinds = {"starts": np.uint32, "ends": np.uint32, "docs": np.int64, "names": np.uint64, "bytes": np.uint8}
     for batch in batches:
         local = np.asarray(batch.column("doc_id").is_valid())
         if local.any():
             rows = batch.filter(pa.array(local))
-            yield pa.RecordBatch.from_arrays([rows.column(c) for c in ("doc_id", "starts", "ends")], names=["doc_id", "starts", "ends"])
+            a, b = ([np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column(c)] for c in ("starts", "ends"))
+            yield np.repeat(rows.column("doc_id").to_numpy(), [len(x) for x in a]), np.concatenate(a), np.concatenate(b)
         for row in np.flatnonzero(~local):
             for k, v in cols.items():
                 v.append(np.frombuffer(batch.column(k)[int(row)].as_buffer(), kinds[k]))
@@ -406,16 +436,15 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = np.concatenate([starts[mine][copy], inside[head_at]]).astype(np.uint32)
         b = np.concatenate([ends[mine][copy], inside[tail_at] + LENGTH]).astype(np.uint32)
         d = np.concatenate([docs[mine][copy], docs[mine][only][owner[head_at]]])
-        own, packed = _by_doc(d, a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(own), *packed], names=["doc_id", "starts", "ends"])
+        yield d, a, b
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = as_bytes(batch.column("text"))
         out = {"starts": [], "ends": [], "sha": [], "removed": []}
-        for i, (lists_a, lists_b) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)):
-            a, b = np.frombuffer(b"".join(lists_a), np.uint32).astype(np.int64), np.frombuffer(b"".join(lists_b), np.uint32).astype(np.int64)
+        for i, (raw_a, raw_b) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)):
+            a, b = np.frombuffer(raw_a, np.uint32).astype(np.int64), np.frombuffer(raw_b, np.uint32).astype(np.int64)
             order = np.argsort(a, kind="stable")
             a, b = a[order], np.maximum.accumulate(b[order])
             new = np.concatenate([[True], a[1:] > b[:-1]])
@@ -458,11 +487,11 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     ids = small(stored(shared.where("doc_id is not null").select("doc_id").distinct(), "suffix-flagged"))
     found = taking.join(ids, "doc_id", "left_semi").join(flags, "doc_id").select("doc_id", "text", "names")
     cut = found.mapInArrow(_cut(parts, hot), _SEGS_SQL).repartitionById(parts, F.col("part"))
-    ranges = stored(cut.mapInArrow(_sorted, "doc_id long, starts binary, ends binary"), "suffix-ranges")
+    packed = cut.mapInArrow(_sorted(parts), "part int, docs binary, starts binary, ends binary").repartitionById(parts, F.col("part"))
+    ranges = stored(packed.mapInArrow(_by_document, "doc_id long, starts binary, ends binary"), "suffix-ranges")
 
-    per_doc = ranges.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     ids = small(stored(ranges.select("doc_id").distinct(), "suffix-hit"))
-    removed = taking.join(ids, "doc_id", "left_semi").join(per_doc, "doc_id").select("doc_id", "text", "starts", "ends")
+    removed = taking.join(ids, "doc_id", "left_semi").join(ranges, "doc_id").select("doc_id", "text", "starts", "ends")
     removed = stored(removed.dropDuplicates(["doc_id"]).mapInArrow(_kept, "doc_id long, n_removed long, kept_sha256 string, span_starts array<long>, span_ends array<long>"), "suffix-removed")
     x = marked.join(part_ids, "doc_id", "left").join(removed, "doc_id", "left")
     copy = F.coalesce((F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= LENGTH), F.lit(False))
