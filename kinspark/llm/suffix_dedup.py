@@ -6,8 +6,8 @@ equal strings meet in one part. Minimizers that no two documents share are left
 two-stage sorting: only suffixes smaller than their successors are sorted, scans over the buckets of first bytes induce
 the others; adjacent common prefixes then tell which strings are equal.
 
-Hot passages: a task reports repeats that it sees itself, and sends on only one of equal segments, of its smallest document;
-strings around a minimizer that very many documents share are dealt one by one, by all their bytes.
+Hot passages: a task reports repeats that it sees itself, and sends on the bytes of only one of equal segments, of its smallest
+document; that document's others go along as their starts alone and share what is found out about the one. Strings around a minimizer that very many documents share are dealt one by one, by all their bytes.
 """
 
 from __future__ import annotations
@@ -68,6 +68,7 @@ def two_stage_suffix_array(t: np.ndarray, depth: int = 56) -> np.ndarray:
         bump[tied] = new
         group += np.cumsum(bump)
 
+    del words, key, group
     # stage two: a bucket holds falling suffixes, then rising ones; each found suffix gives the place of a larger one before it
     sa = np.empty(n, np.int64)
     sizes = np.bincount(t, minlength=256)
@@ -113,6 +114,8 @@ def eight_bytes(t: np.ndarray, room: int) -> np.ndarray:
 
 def common_prefixes(words: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int = 56) -> np.ndarray:
     """Length of the common prefix at each pair of places, up to depth."""
+    if len(a) > 1 << 18:  # a part at a time: temporaries are many times as large
+        return np.concatenate([common_prefixes(words, a[i : i + (1 << 18)], b[i : i + (1 << 18)], depth) for i in range(0, len(a), 1 << 18)])
     out = np.full(len(a), depth, np.int64)
     on = np.arange(len(a))
     for d in range(0, depth, 8):
@@ -193,6 +196,7 @@ def _gather(parts: int):
 
     def flush(held) -> Iterator[pa.RecordBatch]:
         names, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order, at, count = _first_of(names, docs)
         names, docs = names[order], docs[order]
         many = np.repeat(count, count) > 1
@@ -260,8 +264,8 @@ def _shared(parts: int):
     return run
 
 
-_SEGS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary()), ("docs", pa.binary()), ("names", pa.binary()), ("bytes", pa.binary())])
-_SEGS_SQL = "part int, doc_id long, starts binary, ends binary, docs binary, names binary, bytes binary"
+_SEGS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary()), ("docs", pa.binary()), ("names", pa.binary()), ("bytes", pa.binary()), ("again_of", pa.binary()), ("again", pa.binary())])
+_SEGS_SQL = "part int, doc_id long, starts binary, ends binary, docs binary, names binary, bytes binary, again_of binary, again binary"
 
 
 def _gathered_bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -283,6 +287,7 @@ def _cut(parts: int, hot):
 
     def flush(held) -> Iterator[pa.RecordBatch]:
         keys, route, docs, first, last, text = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         size = last - first + LENGTH
         place = np.cumsum(size) - size
         order, at, count = _first_of(keys, docs)
@@ -290,18 +295,26 @@ def _cut(parts: int, hot):
         repeat = order[docs[order] > docs[lead]]
         own, packed = _by_doc(docs[repeat], first[repeat].astype(np.uint32), (last[repeat] + LENGTH).astype(np.uint32))
         none = pa.nulls(len(own), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array((own % parts).astype(np.int32)), pa.array(own), *packed, none, none, none], schema=_SEGS)
+        yield pa.RecordBatch.from_arrays([pa.array((own % parts).astype(np.int32)), pa.array(own), *packed, none, none, none, none, none], schema=_SEGS)
+        again = np.flatnonzero((docs[order] == docs[lead]) & (order != lead))  # places in order, so by group
+        per_group = np.bincount(np.repeat(np.arange(len(at)), count)[again], minlength=len(at))
+        again_begin = np.cumsum(per_group) - per_group
+        again = first[order[again]].astype(np.uint32)
         sent = order[at]
         part = route[sent] % np.uint64(parts)
-        sent = sent[np.argsort(part, kind="stable")]
-        part = np.sort(part)
+        by_part = np.argsort(part, kind="stable")
+        sent, part, per_group, again_begin = sent[by_part], part[by_part], per_group[by_part], again_begin[by_part]
         for i in range(0, len(sent), 1 << 17):
             s, p = sent[i : i + (1 << 17)], part[i : i + (1 << 17)]
             which, begin = np.unique(p, return_index=True)
             ends = np.append(begin[1:], len(p))
             raw = _gathered_bytes(text, place[s], size[s])
+            n_again = per_group[i : i + (1 << 17)]
+            again_of = np.repeat(np.arange(len(s)) - np.repeat(begin, ends - begin), n_again).astype(np.uint32)
+            again_ends = np.cumsum(n_again)[ends - 1]
             yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.nulls(len(which), pa.int64()), binary_rows(first[s].astype(np.uint32), ends), binary_rows((last[s] + LENGTH).astype(np.uint32), ends),
-                                              binary_rows(docs[s], ends), binary_rows(route[s], ends), binary_rows(raw, np.cumsum(size[s])[ends - 1])], schema=_SEGS)
+                                              binary_rows(docs[s], ends), binary_rows(route[s], ends), binary_rows(raw, np.cumsum(size[s])[ends - 1]),
+                                              binary_rows(again_of, again_ends), binary_rows(_gathered_bytes(again, again_begin[i : i + (1 << 17)], n_again), again_ends)], schema=_SEGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -349,13 +362,14 @@ def repeats(text: np.ndarray, size: np.ndarray, docs: np.ndarray) -> np.ndarray:
     begin = ends - size + np.arange(len(size))
     segment = np.repeat(np.arange(len(size)), size + 1)
     whole = np.arange(len(joined)) <= (begin + size - LENGTH)[segment]
+    del segment
     sa = two_stage_suffix_array(joined)
     sa = sa[whole[sa]]
     out = np.zeros(len(joined), bool)
     if len(sa):
         lcp = common_prefixes(eight_bytes(joined, 72), sa[:-1], sa[1:])
         group = np.concatenate([[0], np.flatnonzero(lcp < LENGTH) + 1])
-        doc = docs[segment[sa]]
+        doc = docs[np.searchsorted(ends + np.arange(len(size)), sa)]
         least = np.minimum.reduceat(doc, group)
         out[sa] = doc > np.repeat(least, np.diff(np.append(group, len(sa))))
     return np.delete(out, ends + np.arange(len(size)))
@@ -392,8 +406,8 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Documents, starts and ends of ranges."""
-    cols = {k: [] for k in ("starts", "ends", "docs", "names", "bytes")}
-    kinds = {"starts": np.uint32, "ends": np.uint32, "docs": np.int64, "names": np.uint64, "bytes": np.uint8}
+    kinds = {"starts": np.uint32, "ends": np.uint32, "docs": np.int64, "names": np.uint64, "bytes": np.uint8, "again_of": np.uint32, "again": np.uint32}
+    cols = {k: [] for k in kinds}
     for batch in batches:
         local = np.asarray(batch.column("doc_id").is_valid())
         if local.any():
@@ -405,7 +419,9 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
                 v.append(np.frombuffer(batch.column(k)[int(row)].as_buffer(), kinds[k]))
     if not cols["docs"]:
         return
-    starts, ends, docs, names, text = (np.concatenate(v) for v in cols.values())
+    before = np.cumsum([0, *map(len, cols["docs"])])
+    cols["again_of"] = [x + n for x, n in zip(cols["again_of"], before, strict=False)]  # a row's segments, among all
+    starts, ends, docs, names, text, again_of, again = (np.concatenate(v) for v in cols.values())
     starts, ends = starts.astype(np.int64), ends.astype(np.int64)
     size = ends - starts
     place = np.cumsum(size) - size
@@ -413,6 +429,10 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
     piece = (names >> np.uint64(20)) % np.uint64(pieces)
     by_piece = np.argsort(piece, kind="stable")
     borders = np.searchsorted(piece[by_piece], np.arange(pieces + 1))
+    again_by_piece = np.argsort(piece[again_of], kind="stable")
+    again_borders = np.searchsorted(piece[again_of][again_by_piece], np.arange(pieces + 1))
+    where = np.empty(len(piece), np.int64)
+    where[by_piece] = np.arange(len(piece)) - borders[:-1][piece[by_piece].astype(np.int64)]
     for i in range(pieces):
         mine = by_piece[borders[i] : borders[i + 1]]
         if not len(mine):
@@ -424,6 +444,17 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         lead = np.repeat(order[head], count)
         copy = order[docs[mine][order] > docs[mine][lead]]
         only = order[head]
+        group = np.empty(len(mine), np.int64)
+        group[order] = np.repeat(np.arange(len(head)), count)
+        more = again_by_piece[again_borders[i] : again_borders[i + 1]]
+        more_of, more_at = where[again_of[more]], again[more].astype(np.int64)
+        gone = docs[mine][more_of] > docs[mine][only][group[more_of]]  # of a copy
+        gone_of, gone_at = more_of[gone], more_at[gone]
+        twin = order[(docs[mine][order] == docs[mine][lead]) & (order != lead)]
+        # all places of each of only: its own, and the same document's others
+        holder = np.concatenate([np.arange(len(only)), group[more_of[~gone]], group[twin]])
+        holder_at = np.concatenate([starts[mine][only], more_at[~gone], starts[mine][twin]])[np.argsort(holder, kind="stable")]
+        times = np.bincount(holder, minlength=len(only))
         hit = repeats(_gathered_bytes(raw, at[only], size[mine][only]), size[mine][only], docs[mine][only])
         run = np.flatnonzero(hit)
         cut = np.cumsum(size[mine][only])
@@ -432,10 +463,13 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         first[1:] = (run[1:] != run[:-1] + 1) | (owner[1:] != owner[:-1])
         head_at = np.flatnonzero(first)
         tail_at = np.append(head_at[1:], len(run)) - 1
-        inside = run - (cut - size[mine][only])[owner] + starts[mine][only][owner] if len(run) else run
-        a = np.concatenate([starts[mine][copy], inside[head_at]]).astype(np.uint32)
-        b = np.concatenate([ends[mine][copy], inside[tail_at] + LENGTH]).astype(np.uint32)
-        d = np.concatenate([docs[mine][copy], docs[mine][only][owner[head_at]]])
+        inside = run - (cut - size[mine][only])[owner] if len(run) else run
+        which = owner[head_at]
+        n = times[which]
+        base = _gathered_bytes(holder_at, (np.cumsum(times) - times)[which], n)
+        a = np.concatenate([starts[mine][copy], gone_at, base + np.repeat(inside[head_at], n)]).astype(np.uint32)
+        b = np.concatenate([ends[mine][copy], gone_at + size[mine][gone_of], base + np.repeat(inside[tail_at], n) + LENGTH]).astype(np.uint32)
+        d = np.concatenate([docs[mine][copy], docs[mine][gone_of], np.repeat(docs[mine][only][which], n)])
         yield d, a, b
 
 

@@ -143,6 +143,18 @@ def test_passages(spark, docs, empty):
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_that_repeat_inside_a_document(spark):
+    line, passage = prose(12), prose(90)
+    whole = [(0, f"{passage[:150]} {line}"), (1, f"{line} {passage}")]
+    twice = [(i, f"{prose(9)} {passage} {prose(7)} {passage}{prose(5)} {line} {prose(4)} {line} {line} {passage[40:]}") for i in range(2, 9)]
+    twice += [(i, f"{prose(6)}{passage[100:300]} {prose(5)}{passage[100:300]} {prose(3)}") for i in range(9, 14)]
+    twice += [(i, f"{prose(3)} {line} {prose(2)} {line} {prose(1)}") for i in range(14, 100)]  # hot
+    want = passages([t for _, t in whole + twice])
+    rdd = spark.sparkContext.parallelize(range(4), 4).flatMap(lambda p: twice[p::3] if p < 3 else whole)  # the smaller holders are in another task
+    got = by_id(suffix_dedup.repeated_passages(spark.createDataFrame(rdd, "doc_id long, text string")))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == want
+
+
 def test_passages_around_a_hot_line(spark, monkeypatch):
     line = prose(12)
     texts = [prose(8) + line + prose(8) for _ in range(150)]
