@@ -332,6 +332,15 @@ def test_language_model(docs, empty):
     assert lm.lm_scores(empty, TOKENIZER).count() == 0
 
 
+def test_lm_counts_every_word(docs, monkeypatch):
+    scores = []
+    for most in (50_000, 0):  # whatever the sample shows to be frequent, each word's count takes part
+        monkeypatch.setattr(lm, "FREQUENT", most)
+        scores.append(by_id(lm.lm_scores(docs, TOKENIZER)))
+    for i, r in scores[0].items():
+        assert (r.score, r.base_score, r.n_known) == (pytest.approx(scores[1][i].score), pytest.approx(scores[1][i].base_score), scores[1][i].n_known)
+
+
 def test_attention_gradients_and_causality():
     r = np.random.default_rng(1)
     w = {k: x.astype(float) for k, x in lm.start_weights().items()}
