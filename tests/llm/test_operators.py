@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinspark.llm import bpe, licenses, lm, near_dedup, quality, suffix_dedup, topk, toxicity, wordhash
+from kinspark.llm import lm_model as M
 from kinspark.llm.exact_dedup import exact_duplicates
 from kinspark.llm.mixing import mix, source_targets
 from kinspark.llm.queries import TOKENIZER
@@ -341,43 +342,121 @@ def test_lm_counts_every_word(docs, monkeypatch):
         assert (r.score, r.base_score, r.n_known) == (pytest.approx(scores[1][i].score), pytest.approx(scores[1][i].base_score), scores[1][i].n_known)
 
 
-def test_attention_gradients_and_causality():
-    r = np.random.default_rng(1)
-    w = {k: x.astype(float) for k, x in lm.start_weights().items()}
-    chances = r.dirichlet(np.ones(lm.CLASSES), lm.CLASSES)
-    bigram = lm.Bigrams(np.log(chances), lm.grouped(np.log(chances)))
-    x, before = (r.integers(0, 40, (3, lm.BLOCK)) for _ in range(2))
-    target = r.integers(0, lm.GROUPS, (3, lm.BLOCK))
-    opening = np.array([True, False, False])
-
-    def loss(w):
-        logits = lm.attend(w, x, before, opening)[-1].reshape(-1, lm.WIDTH) @ w["u"].T + bigram.by[x.ravel()]
-        return float(np.mean(np.log(np.exp(logits).sum(1)) - logits[np.arange(len(logits)), target.ravel()]))
-
-    g = lm.gradients(w, bigram.by, x, before, target, opening)
+def small_model(monkeypatch, seed=1):
+    """A model of 12 classes, six of which open words (the end among them), with weights that aren't 0."""
+    monkeypatch.setattr(M, "CLASSES", 12)
+    r = np.random.default_rng(seed)
+    opens = np.arange(12) < 6
+    pairs = r.integers(1, 60, (12, 12)).astype(float)
+    pairs[:, opens] *= 3
+    pairs[M.END_CLASS, ~opens] = 0
+    tables = M.Tables(pairs, opens)
+    w = M.start_weights(tables)
+    return r, opens, tables, {k: (x + r.normal(0, 0.3, x.shape)).astype(np.float32) for k, x in w.items()}
+
+
+def test_attention_gradients(monkeypatch):
+    r, opens, tables, w = small_model(monkeypatch)
+    w = {k: x.astype(float) for k, x in w.items()}
+    x, before, target = (r.integers(0, 12, (5, M.BLOCK)) for _ in range(3))
+    x[target >= 6] = np.maximum(x[target >= 6], 1)  # nothing goes on with the end
+    target[1, 9:] = -1
+    opening = np.array([True, False, False, True, False])
+    _, g = M.gradients(w, tables, x, before, target, opening)
     for k in w:
         at = np.unravel_index(int(np.argmax(np.abs(g[k]))), w[k].shape)
-        step = {**w, k: w[k].copy()}
-        step[k][at] += 1e-5
-        up = loss(step)
-        step[k][at] -= 2e-5
-        assert (up - loss(step)) / 2e-5 == pytest.approx(g[k][at], rel=1e-3, abs=1e-7)
-
-    def scored(ids):
-        x, target, opening = lm.blocks(ids, np.array([0, 60, 100]))
-        assert (target.ravel() >= 0).sum() == 100
-        return lm.log_chances(lm.start_weights(), bigram, x, target, opening).ravel()[target.ravel() >= 0]
-
-    ids = r.integers(1, 40, 100).astype(np.int32)
-    full = scored(ids)
-    each = []
-    for c in range(lm.CLASSES):  # chances of the next class add up to one
-        ids[70] = c
-        each.append(scored(ids)[70])
-    assert np.exp(each).sum() == pytest.approx(1, abs=1e-3)
-    ids[50:60] = 1
-    again = scored(ids)
-    assert np.allclose(full[:50], again[:50]) and np.allclose(full[60:70], again[60:70])
+        losses = []
+        for step in (1e-5, -1e-5):
+            moved = {**w, k: w[k].copy()}
+            moved[k][at] += step
+            losses.append(M.gradients(moved, tables, x, before, target, opening)[0])
+        assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(g[k][at], rel=1e-3, abs=1e-7)
+
+
+def direct(w, tables, classes):
+    """log chances of one text's classes, place by place."""
+    out, inputs = [], [M.END_CLASS, *classes[:-1]]
+    for i, c in enumerate(classes):
+        seen = range(max(0, i // M.BLOCK * M.BLOCK - M.BLOCK), i + 1)
+        s = np.array([w["q"][inputs[i]] @ w["k"][inputs[j]] / np.sqrt(M.WIDTH) + w["r"][i - j] for j in seen])
+        p = np.exp(s - s.max())
+        context = (p / p.sum()) @ w["v"][[inputs[j] for j in seen]]
+        odds = tables.on[inputs[i]] + context @ w["on"]
+        ends = tables.opens[c]
+        on = 0 if inputs[i] == M.END_CLASS else -np.log1p(np.exp(odds if ends else -odds))
+        z = (tables.first if ends else tables.rest)[inputs[i]] + (w["first"] if ends else w["rest"]) @ context
+        out.append((z[tables.place[c]] - np.log(np.exp(z).sum()), on))
+    return np.array(out)
+
+
+def test_windows_score_as_the_whole_text_would(monkeypatch):
+    r, opens, tables, w = small_model(monkeypatch)
+    texts = []
+    for n in (1, 15, 16, 17, 70, 120):
+        t = r.integers(1, 12, n)
+        t[0], t[-1] = 3 if n > 1 else 0, 0
+        texts.append(t)
+    classes, offsets = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    x, target, opening = M.blocks(classes, offsets)
+    assert (target.ravel() >= 0).sum() == len(classes)  # each is scored once
+    got = np.stack([v[target.ravel() >= 0] for v in M.log_chances(w, tables, x, target, opening)], 1)
+    assert np.allclose(got, np.concatenate([direct(w, tables, t.tolist()) for t in texts]), atol=2e-4)
+    rows = M.windows_of(x, target, opening, np.arange(len(x)))
+    before, x2, target2, opening2 = M.unpacked(rows)
+    assert (before == M.befores(x, opening)).all() and (target2 == target).all() and (opening2 == opening).all() and (x2[target >= 0] == x[target >= 0]).all()
+
+
+def test_token_chances_add_up_to_one(monkeypatch):
+    r, opens, tables, w = small_model(monkeypatch)
+    ids = np.arange(12)  # each class has one subword; 0 is the end
+    spelt = [[a] for a in range(1, 6)]
+    layers = [spelt]
+    for _ in range(4):
+        layers.append([x + [b] for x in layers[-1] for b in range(6, 12)])
+    every = [[0], *[x for layer in layers for x in layer]]
+    known = [x for x in every[1:] if r.random() < 0.3 and len(x) < 4]
+    counts = r.integers(1, 9, len(known))
+    name = lambda x: lm.words(np.array([*x, 0]), np.array([0, len(x) + 1]), opens)[1][0]
+    names = np.array([name(x) for x in known])
+    order = np.argsort(names)
+    first = np.array([x[0] for x in known])
+    scorer = lm.Scorer(ids, np.zeros(12), w, tables, opens, names[order], counts[order], [int(counts.sum()), len(known), 5, 2], np.bincount(first, counts, 12), np.bincount(first, minlength=12))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for history in ([], [2, 7, 8, 3, 1, 9, 2, 7, 8], list(r.integers(1, 6, 40))):
+        begin = len(history)
+        texts = [[*history, *x, *([0] if x != [0] else [])] for x in every]
+        joined, offsets = np.concatenate(texts).astype(int), np.cumsum([0, *map(len, texts)])
+        of, logs, _ = scorer.tokens(joined, offsets, *none)
+        places = np.concatenate([np.flatnonzero(opens[t]) for t in texts])
+        chances = np.exp(logs[places == begin])
+        assert len(chances) == len(every) and 0.9 < chances.sum() <= 1 + 1e-4  # words of more than five subwords have the rest
+        missing = 1 - chances.sum()
+        assert missing < 4 * chances[[len(x) == 5 for x in every]].sum()
+
+
+def test_held_out_texts_and_partitions_move_no_score(spark):
+    texts = [prose(int(n)) for n in np.random.default_rng(2).integers(5, 90, 160)]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(160)]
+    table = lambda t: spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    score = lambda d: {r.doc_id: r.score for r in lm.lm_scores(d, TOKENIZER).collect()}
+    first, other = score(table(texts)), score(table([f"{t} {LONG} new" if h else t for t, h in zip(texts, held, strict=True)]))
+    assert all(other[i] == pytest.approx(first[i], abs=1e-6) for i in range(160) if not held[i])
+    dealt = score(table(texts).repartition(3, "text"))
+    assert dealt == {i: pytest.approx(x, abs=1e-6) for i, x in first.items()}
+
+
+def test_lexicon_equals_word_by_word(monkeypatch):
+    own = bpe.codec(open(TOKENIZER).read())
+    monkeypatch.setattr(lm, "REMEMBERED", 40)
+    lexicon = lm.Lexicon(own)
+    for part in (TEXTS[:12], TEXTS[12:30], TEXTS[:5], TEXTS[30:]):
+        raw = [(t or "").encode() for t in part]
+        ids, ends, n = lexicon.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        for i, t in enumerate(part):
+            found = SPLIT.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+            pieces = [p for w in found for p in lm._pieces(own, w)]
+            own.learn(pieces)
+            assert ids[ends[i] : ends[i + 1]].tolist() == [x for p in pieces for x in np.frombuffer(own.known[p], "<u4").tolist()] + [lm.END] and n[i] == len(found) + 1
 
 
 def test_hashes_don_t_depend_on_place():
