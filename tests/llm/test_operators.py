@@ -385,7 +385,7 @@ def direct(w, tables, classes):
         ends = tables.opens[c]
         on = 0 if inputs[i] == M.END_CLASS else -np.log1p(np.exp(odds if ends else -odds))
         z = (tables.first if ends else tables.rest)[inputs[i]] + (w["first"] if ends else w["rest"]) @ context
-        out.append((z[tables.place[c]] - np.log(np.exp(z).sum()), on))
+        out.append((z[tables.group[c]] - np.log(np.exp(z).sum()) + tables.inside[inputs[i], c], on))
     return np.array(out)
 
 
@@ -401,7 +401,10 @@ def test_windows_score_as_the_whole_text_would(monkeypatch):
     assert (target.ravel() >= 0).sum() == len(classes)  # each is scored once
     got = np.stack([v[target.ravel() >= 0] for v in M.log_chances(w, tables, x, target, opening)], 1)
     assert np.allclose(got, np.concatenate([direct(w, tables, t.tolist()) for t in texts]), atol=2e-4)
-    rows = M.windows_of(x, target, opening, np.arange(len(x)))
+    monkeypatch.setattr(M, "SEGMENT", 4 * M.BLOCK)
+    start, end, text, number = M.segments(offsets)
+    leads = np.where(number > 0, np.where(start > offsets[text], classes[start - 1], M.END_CLASS), -1)
+    rows = M.windows_of(np.concatenate([classes[a:b] for a, b in zip(start, end, strict=True)]), np.cumsum(end - start), leads)
     before, x2, target2, opening2 = M.unpacked(rows)
     assert (before == M.befores(x, opening)).all() and (target2 == target).all() and (opening2 == opening).all() and (x2[target >= 0] == x[target >= 0]).all()
 
