@@ -16,23 +16,35 @@ BROADCAST_ROWS = 200_000  # largest table of narrow rows that is ever broadcast
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). A local master, whose executors are in the driver's own process,
+    may do without that setting; elsewhere its absence is an error, as results would be lost."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     at = at or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="kinspark-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later plan reads."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df (stored, so cheap to count) with a broadcast hint if it has at most limit rows; otherwise as it is, to be shuffled."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

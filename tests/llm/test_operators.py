@@ -451,13 +451,14 @@ def test_held_out_texts_and_partitions_move_no_score(spark):
 def test_lexicon_equals_word_by_word(monkeypatch):
     own = bpe.codec(open(TOKENIZER).read())
     monkeypatch.setattr(lm, "REMEMBERED", 40)
-    lexicon = lm.Lexicon(own)
-    for part in (TEXTS[:12], TEXTS[12:30], TEXTS[:5], TEXTS[30:]):
+    lexicon = lm.Lexicon(open(TOKENIZER).read())
+    odd = ["a\u2003 \u2003b \u00a0 c\u00a0", "\u3000x y\u3000\u3000 z", "<|endoftext|> 12\u20034.", ""]
+    for part in (TEXTS[:12], odd, TEXTS[12:30], TEXTS[:5], odd + TEXTS[30:]):
         raw = [(t or "").encode() for t in part]
         ids, ends, n = lexicon.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
         for i, t in enumerate(part):
             found = SPLIT.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
-            pieces = [p for w in found for p in lm._pieces(own, w)]
+            pieces = [p for w in found for p in own.words.findall(" " + w)]
             own.learn(pieces)
             assert ids[ends[i] : ends[i + 1]].tolist() == [x for p in pieces for x in np.frombuffer(own.known[p], "<u4").tolist()] + [lm.END] and n[i] == len(found) + 1
 
