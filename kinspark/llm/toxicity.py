@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import wordhash as H
-from .util import arrow_table, as_bytes, chunks
+from .util import arrow_table, as_bytes, chunks, discard, stored
 
-TRAINING_ROWS = 5000  # labelled documents that training takes at most, by hash of their ids
+TRAINING_ROWS, TRAINING_BYTES = 5000, 64 << 20  # labelled documents that training takes at most, in the order of a hash of their ids
 MOST_FEATURES = 50_000  # weights that a model keeps at most, the largest ones
 LEAST_EVIDENCE = 12.0  # log-likelihood ratio that a feature needs to be used
 OFTEN = 50  # documents from which a feature counts as frequent in training
@@ -129,12 +130,26 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 300, rate: float =
     enough = lambda seen: int(np.argmax(np.append(seen >= LEAST_EVIDENCE, True)))
     least_toxic, least_clean = enough(evidence(alone, np.minimum(alone, toxic), n, toxic)), enough(evidence(alone, np.maximum(alone - (n - toxic), 0), n, toxic))
     possible = (toxic_having >= max(1, least_toxic)) | (having >= max(1, least_clean))
-    often = np.flatnonzero(having >= OFTEN)  # few features are frequent, so a bucket's evidence is that of its frequent one
-    possible[often] = evidence(having[often], toxic_having[often], n, toxic) >= LEAST_EVIDENCE / 2
+    often = having >= OFTEN  # features of such buckets are counted one by one
+    exact = np.zeros(0, np.uint64), np.zeros((0, 2))
+    for _, of, found in pieces():
+        for sentence, names in found:
+            at = np.flatnonzero(often[names & low])
+            order = at[np.lexsort((of[sentence[at]], names[at]))]
+            mine, docs = names[order], of[sentence[order]]
+            new = np.ones(len(mine), bool)
+            new[1:] = (mine[1:] != mine[:-1]) | (docs[1:] != docs[:-1])
+            mine, docs = mine[new], docs[new]
+            every, group = np.unique(np.concatenate([exact[0], mine]), return_inverse=True)
+            seen = np.concatenate([exact[1], np.stack([np.ones(len(mine)), y[docs]], 1)])
+            exact = every, np.stack([np.bincount(group, c, len(every)) for c in seen.T], 1)
+    frequent = exact[0][evidence(exact[1][:, 0], exact[1][:, 1], n, toxic) >= LEAST_EVIDENCE]
     parts, base, owner = [], 0, []
     for starts, of, found in pieces():
         for sentence, names in found:
-            may = possible[names & low]
+            may = np.flatnonzero(possible[names & low])
+            one = often[names[may] & low]
+            may = may[~one | np.isin(names[may], frequent)]
             parts.append((names[may], (sentence[may] + base).astype(np.int32)))
         base += len(starts)
         owner.append(of)
@@ -179,14 +194,19 @@ def held_out(doc_id: Column, fold: int, of: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(of)) == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", rows: int = TRAINING_ROWS) -> Model:
-    """Model from at most rows labelled documents that are not held out (crc32 mod 5 is 0). Null labels and ids don't count;
-    of labels that repeat an id, the largest counts. Without labels, the model gives every text a low score."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", rows: int = TRAINING_ROWS, size: int = TRAINING_BYTES) -> Model:
+    """Model from labelled documents that are not held out (crc32 mod 5 is 0): whole texts in the order of a hash of the id, at most rows,
+    and of those at most size bytes. Null labels and ids don't count; of labels that repeat an id, the largest counts, of texts that
+    do, the first in order. Without labels, the model gives every text a low score."""
     ids = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id"), 0, 5))
     ids = ids.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    took = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").toArrow()
-    took = took.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(took["text"].combine_chunks() if took.num_rows else pa.array([], pa.string()), (took["y"].to_numpy() > 0).astype(float))
+    took = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    took = stored(took.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")), "toxicity-training")
+    sizes = took.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"])
+    small = F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in sizes["doc_id"][sizes["n"].cumsum() <= size]], "small_id long"))
+    got = took.join(small, F.col("doc_id") == F.col("small_id"), "left_semi").toArrow().sort_by("doc_id")
+    discard(took)
+    return train(got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), (got["y"].to_numpy() > 0).astype(float))
 
 
 FIELDS = "score double, predicted int, n_sentences long, worst_sentence long, worst_start long, worst_end long, worst_score double"
@@ -195,7 +215,7 @@ FIELDS = "score double, predicted int, n_sentences long, worst_sentence long, wo
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep of docs with score (0 to 1), predicted (1 from 0.5), and the sentence most likely to offend: its
     number from 0, its first byte and the byte behind it, and its own score. Null and empty texts are one empty sentence
-    that gets the bias alone. Columns of docs with clashing names do no harm unless they are in keep."""
+    that gets the bias alone. Columns of docs with clashing names do no harm unless they are in keep; a struct of all columns is a safe one to keep."""
     out = docs.sparkSession.sparkContext.broadcast(model)
     mine = docs.select(*keep, F.col(text).alias("__text"))
     fields = [f.strip().split(" ") for f in FIELDS.split(",")]
@@ -212,8 +232,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             schema = pa.schema([*(batch.schema.field(k) for k in own), *((n, {"double": pa.float64(), "int": pa.int32(), "long": pa.int64()}[t]) for n, t in fields)])
             yield arrow_table(schema, **own, **columns)
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mine.schema if f.name != "__text")
-    return mine.mapInArrow(run, f"{kept}, {FIELDS}")
+    return mine.mapInArrow(run, StructType([*(f for f in mine.schema if f.name != "__text"), *StructType.fromDDL(FIELDS)]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
