@@ -1,8 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
-A document of a source with target T and size S is due T / S copies. The whole part is taken for certain. The rest is a
-Pareto order sample: with inclusion odds p / (1 - p) and random odds u / (1 - u), documents are taken in the order of
-random odds over inclusion odds until the sample has its fixed size, counted in words. No source is ever sorted as a
+A document of a source with target T and size S is due T / S copies on average. The whole part is taken for certain. The rest is a
+Pareto order sample of unequal chances: a document's inclusion odds fall with the square root of its size, so long documents,
+which make what is taken jump most, are drawn less often than short ones. With random odds u / (1 - u), documents are taken in the
+order of random odds over inclusion odds until the sample has its fixed size, counted in words; a factor that all inclusion odds of
+a source share doesn't change that order, so it needn't be solved for. No source is ever sorted as a
 whole: the ranks are cut into bins, only sums of bins are compared, and just the bin that holds the border is sorted.
 """
 
@@ -41,17 +43,26 @@ def source_targets(sizes: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), mos
     return x.select("source", "source_size", F.when(F.col("at").isNull() | (F.col("stop") / F.col("w") < F.col("at")), F.col("stop")).otherwise(F.col("w") * F.col("at")).alias("target"))
 
 
-def _drawn(docs: DataFrame, seed: str, text: str, doc_id: str, source: str) -> DataFrame:
-    """docs as a struct, with what the draw needs of each row: id, source, size and a random number from the id and seed."""
-    hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary"))
-    number = (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-    return docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), number.alias("u"))
+def _drawn(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame:
+    """docs as a struct, with what the draw needs of each row: id, source, size, the text's digest and the row's number."""
+    return docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("number"))
+
+
+def _with_random(rows: DataFrame, repeated: DataFrame | None, seed: str) -> DataFrame:
+    """rows with a random number u from seed, id and text; rows that repeat both (repeated, None if there are none) draw by their
+    number too."""
+    own = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("digest"))
+    if repeated is not None:
+        rows = rows.alias("x").join(repeated.alias("r"), F.col("x.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("x.digest") == F.col("r.digest")), "left").select("x.*", F.col("r.digest").isNotNull().alias("again"))
+        own = F.when(F.col("again"), F.concat_ws(":", own, F.col("number").cast("string"))).otherwise(own)
+    hashed = F.md5(own.cast("binary"))
+    return rows.withColumn("u", (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))).drop("digest", "number", "again")
 
 
 def _ranked(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """rows with their source's columns in targets, and their place in the Pareto order: odds, and its bin."""
     x = rows.alias("x").join(targets.alias("t"), F.col("x.source").eqNullSafe(F.col("t.source"))).drop(F.col("t.source"))
-    odds = F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+    odds = F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))) * F.sqrt(F.greatest("size", F.lit(1)) / F.col("mean")))
     return x.withColumn("odds", odds).withColumn("bin", F.floor(F.col("odds") / (1 + F.col("odds")) * BINS))
 
 
@@ -61,10 +72,11 @@ def _taken_in_order() -> Column:
 
 
 def mix_plan(rows: DataFrame, weights: list[float], most: float) -> DataFrame:
-    """One row for each source (rows: what _drawn gives, without row, stored): source_size, target, the certain copies, the
+    """One row for each source (rows: what _with_random gives, without row): source_size, target, the certain copies, the
     chance p of one more, and where the Pareto order is cut: border (bin), cut (place in it) and last (one more document)."""
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, list(weights), most)
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.greatest(F.avg("size"), F.lit(1.0)).alias("mean"))
+    sizes = stored(sizes, "mix-sources")
+    targets = source_targets(sizes.drop("mean"), list(weights), most).alias("t").join(sizes.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select("t.*", "mean")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("sure", F.floor(due)).withColumn("p", due - F.floor(due)).withColumn("missing", F.col("target") - F.col("sure") * F.col("source_size"))
     targets = stored(targets, "mix-targets")
@@ -97,9 +109,12 @@ def mix_plan(rows: DataFrame, weights: list[float], most: float) -> DataFrame:
 def mixed(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3.0, seed: str = "mix", text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """row (all columns of docs, as a struct) and what mix gives, for each row of docs. The plan is a row for each source, so
     texts are neither sorted nor shuffled."""
-    rows = _drawn(docs, seed, text, doc_id, source)
-    plan = small(mix_plan(stored(rows.drop("row"), "mix-sizes"), weights, most))
-    x = _ranked(rows, plan)
+    rows = _drawn(docs, text, doc_id, source)
+    sizes = stored(rows.drop("row"), "mix-sizes")
+    repeated = stored(sizes.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "digest"), "mix-repeated")
+    repeated = None if repeated.isEmpty() else small(repeated)
+    plan = small(mix_plan(stored(_with_random(sizes, repeated, seed), "mix-drawn"), weights, most))
+    x = _ranked(_with_random(rows, repeated, seed), plan)
     is_last = F.coalesce(F.struct("odds", "doc_id", "size") == F.col("last"), F.lit(False)) & ~_taken_in_order()
     copies = (F.col("sure") + _taken_in_order().cast("long") + is_last.cast("long")).cast("long")
     x = x.withColumn("copies", copies)
@@ -110,8 +125,8 @@ def mix(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3
     """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken.
 
     size: words of the text (null text: 0). copies: how often the mix takes the document, at most ceil(most) times; taken:
-    copies times size. Random numbers come from the id and seed, so reruns agree; ties (ids that repeat) go by size, and
-    rows that are equal in id, source and size share one fate. Null sources are one source of their own; a source of no words
+    copies times size. Random numbers come from seed, id and text, so reruns agree; rows that repeat an id and a text, null ids
+    included, each have their own, by their place in the table (reruns agree while its files stay the same). Null sources are one source of their own; a source of no words
     takes nothing. The last document of each source's sample is the one whose size fits what is still missing best, if taking
     it brings the source nearer to its target. Other columns of docs are ignored. An empty table gives an empty result.
     """
@@ -120,16 +135,16 @@ def mix(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3
 
 SQL = r"""
     WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                 (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u FROM documents),
-    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM d GROUP BY source),
+                 (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, greatest(CAST(sum(size) AS DOUBLE) / count(*), 1.0) AS mean, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM d GROUP BY source),
     o AS (SELECT *, 3 * CAST(source_size AS DOUBLE) AS stop FROM s),
     l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(stop) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM o
           WINDOW b AS (ORDER BY stop / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     m AS (SELECT *, max(CASE WHEN level <= stop / w THEN level END) OVER () AS lvl FROM l),
-    t AS (SELECT source, source_size, CASE WHEN lvl IS NULL OR stop / w < lvl THEN stop ELSE w * lvl END AS target FROM m),
+    t AS (SELECT source, source_size, mean, CASE WHEN lvl IS NULL OR stop / w < lvl THEN stop ELSE w * lvl END AS target FROM m),
     p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS due FROM t),
-    q AS (SELECT d.*, p.source_size, p.target, floor(due) AS sure, due - floor(due) AS p, p.target - floor(due) * p.source_size AS missing FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-    r AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM q),
+    q AS (SELECT d.*, p.source_size, p.mean, p.target, floor(due) AS sure, due - floor(due) AS p, p.target - floor(due) * p.source_size AS missing FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+    r AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) * sqrt(greatest(size, 1) / mean) END AS odds FROM q),
     c AS (SELECT *, p > 0 AND sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds, doc_id, size ROWS UNBOUNDED PRECEDING) <= missing AS more FROM r),
     g AS (SELECT *, missing - sum(CASE WHEN more THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
     f AS (SELECT *, CASE WHEN p > 0 AND NOT more AND size > 0 AND size < 2 * gap THEN row_number() OVER (PARTITION BY source, p > 0 AND NOT more AND size > 0 AND size < 2 * gap ORDER BY abs(size - gap), odds, doc_id) END AS nth FROM g),

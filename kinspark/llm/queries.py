@@ -89,6 +89,13 @@ QUERIES = {
 SQL = {
     "op3_licenses": licence_sql(),
     "op6_mix_sources": mix_sql,
+    "op7_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        q AS (SELECT DISTINCT ON (vec_id) vec_id AS query_id, v AS q FROM v WHERE vec_id % 100 = 0 ORDER BY vec_id, v),
+        s AS (SELECT query_id, vec_id, CAST(list_sum(list_transform(list_zip(q, v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM q JOIN v ON vec_id <> query_id AND len(q) = len(v)),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

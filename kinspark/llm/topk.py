@@ -3,7 +3,7 @@
 Vectors are brought to integers, so scores are exact. Every shard of the candidates builds a ball tree. For a query q, no
 vector in a ball with centre c and radius r scores more than q.c + |q| r: balls are visited in the order of that bound
 and the search ends where it falls below the kth score so far. That score is shared: a first pass over a few vectors
-of every shard gives each query a kth score that all shards start from.
+of every shard gives each query a kth score that all shards start from, and a task's trees hand theirs on.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ LEAF = 64
 QUERY_BYTES = 16 << 20  # vectors of queries that are broadcast at once; more are searched in further passes
 SEARCHED = 4096  # queries whose bounds a task holds at a time
 SHARD_ROWS = 20_000  # vectors that make up one tree at most
+LONG = 2**63 - 1
 
 
 class BallTree:
@@ -51,36 +52,45 @@ class BallTree:
         self.radii = np.array([np.sqrt(((self.x[a:b] - c) ** 2).sum(1).max()) for (a, b), c in zip(self.bounds, self.centres, strict=True)])
         self.leaves = np.array([i for i, (left, _) in enumerate(self.children) if left < 0])
 
-    def bound(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    def bound(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
         """Upper bounds of inner products, queries by nodes; a little above the exact bound, so rounding loses nothing."""
         exact = q @ self.centres[nodes].T + np.sqrt((q * q).sum(1))[:, None] * self.radii[nodes][None]
         return exact + 1e-6 * np.abs(exact) + 1e-3
 
 
+def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact integer inner products of rows of x and q, those beyond a long as the greatest or least long. Doubles are exact while
+    no sum can pass 2**53; otherwise Python's integers are used."""
+    if not len(x) or np.abs(x).max() * np.abs(q).sum() < 2.0**53:
+        return (x @ q).astype(np.int64)
+    own = [int(c) for c in q]
+    return np.array([max(-LONG, min(LONG, sum(int(a) * b for a, b in zip(row, own, strict=True)))) for row in x.tolist()], np.int64)
+
+
 def _search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, floor: np.ndarray):
-    """The k best (score, id) of each query in this tree that are not below floor, ties to the smaller id. Branch and bound: from
-    the root, only children whose bound reaches the kth score are kept; leaves are then read from the best bound on."""
+    """The k best (score, id) of each query in this tree that are not below floor, ties to the smaller id; floor rises to each kth
+    score found. Branch and bound: from the root, bounds are taken of children of nodes whose own bound reaches the kth score;
+    leaves are then read from the best bound on."""
     n = len(queries)
     ids = ids[tree.order]
     out_query, out_id, out_score = [], [], []
-    alive = tree.bound(queries, np.arange(len(tree.bounds)))
-    open_ = np.zeros((n, len(tree.bounds)), bool)
-    open_[:, 0] = alive[:, 0] >= floor
+    alive = np.full((n, len(tree.bounds)), -np.inf)
+    alive[:, 0] = tree.bound(queries, [0])[:, 0]
     for node, (left, right) in enumerate(tree.children):
-        if left >= 0:
-            for child in (left, right):
-                open_[:, child] = open_[:, node] & (alive[:, child] >= floor)
+        open_ = np.flatnonzero(alive[:, node] >= floor) if left >= 0 else []
+        if len(open_):
+            alive[np.ix_(open_, [left, right])] = tree.bound(queries[open_], [left, right])
     for q in range(n):
-        leaves = tree.leaves[open_[q, tree.leaves]]
+        leaves = tree.leaves[alive[q, tree.leaves] >= floor[q]]
         leaves = leaves[np.argsort(-alive[q, leaves], kind="stable")]
-        kth, scores, found = floor[q], np.zeros(0), np.zeros(0, np.int64)
+        kth, scores, found = floor[q], np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, step = 0, 1
         while at < len(leaves) and alive[q, leaves[at]] >= kth:
             some = leaves[at : at + step]
             some = some[alive[q, some] >= kth]
             at, step = at + step, min(step * 2, 32)
             rows = np.concatenate([np.arange(*tree.bounds[i]) for i in some])
-            got = tree.x[rows] @ queries[q]
+            got = _products(tree.x[rows], queries[q])
             keep = (got >= kth) & (ids[rows] != query_ids[q])
             scores, found = np.concatenate([scores, got[keep]]), np.concatenate([found, ids[rows][keep]])
             if len(scores) > k:
@@ -88,6 +98,7 @@ def _search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.
                 scores, found = scores[best], found[best]
             if len(scores) == k:
                 kth = max(kth, scores.min())
+        floor[q] = kth
         out_query.append(np.full(len(found), query_ids[q]))
         out_id.append(found)
         out_score.append(scores)
@@ -102,8 +113,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     """query_id, rank, vec_id, score: for each row whose id is divisible by every, the k other rows with the greatest integer inner
     product of floor(scale * x), ties to the smaller id.
 
-    Rows with a null id, a null or empty vector, or one with null or non-finite components take no part. Vectors
-    of another length than the first query's are an error. Of rows that repeat an id, each is a candidate (not for its own id) and
+    Rows with a null id, a null or empty vector, or one with null or non-finite components take no part. A query meets only vectors of
+    its own length. Scaled components and scores beyond a long count as the greatest or least long. Of rows that repeat an id, each is a candidate (not for its own id) and
     one, the smallest, is the query. Other columns are ignored. Without queries or candidates the result is empty.
     """
     spark = vectors.sparkSession
@@ -112,10 +123,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     v = v.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & ~F.exists("e", bad)).select("vec_id", "v")
     v = stored(v, "topk-vectors")
     queries = stored(v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
-    first = queries.first()
-    if first is None:
+    size = queries.agg(F.sum(8 * (F.size("v") + 1))).first()[0]
+    if size is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    passes = max(1, math.ceil(queries.count() * 8 * (len(first["v"]) + 1) / QUERY_BYTES))
+    passes = max(1, math.ceil(size / QUERY_BYTES))
     shards = max(1, math.ceil(v.count() / SHARD_ROWS))
     shards = max(shards, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(v.count() / 1000)))
     dealt = stored(v.repartition(shards), "topk-shards")
@@ -124,25 +135,26 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
         block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).toPandas().sort_values("vec_id")
         if not len(block):
             continue
-        q = spark.sparkContext.broadcast((block["vec_id"].to_numpy(np.int64), _matrix(block["v"])))
+        q = spark.sparkContext.broadcast({n: (part["vec_id"].to_numpy(np.int64), _matrix(part["v"])) for n, part in block.groupby(block["v"].map(len))})
 
         def scan(batches: Iterator[pd.DataFrame], q=q, sample: int = 0, floors=None) -> Iterator[pd.DataFrame]:
-            query_ids, m = q.value
-            floor = floors.value if floors is not None else np.full(len(m), -np.inf)
-            for pdf in _trees(batches, sample):
-                ids, x = pdf["vec_id"].to_numpy(np.int64), _matrix(pdf["v"])
-                tree = BallTree(x)
-                for at in range(0, len(m), SEARCHED):
-                    some = slice(at, at + SEARCHED)
-                    a, b, s = _search(tree, ids, m[some], query_ids[some], k, floor[some])
-                    yield pd.DataFrame({"query_id": a, "vec_id": b, "score": s.astype(np.int64)})
+            floor = {n: np.array([(floors.value if floors else {}).get(i, -LONG - 1) for i in ids.tolist()], np.int64) for n, (ids, _) in q.value.items()}
+            for every in _trees(batches, sample):
+                for n, pdf in every.groupby(every["v"].map(len)):
+                    if n not in q.value:
+                        continue
+                    query_ids, m = q.value[n]
+                    tree, ids = BallTree(_matrix(pdf["v"])), pdf["vec_id"].to_numpy(np.int64)
+                    for at in range(0, len(m), SEARCHED):
+                        some = slice(at, at + SEARCHED)
+                        a, b, s = _search(tree, ids, m[some], query_ids[some], k, floor[n][some])
+                        yield pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
 
         kind = "query_id long, vec_id long, score long"
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         probe = dealt.mapInPandas(lambda it, scan=scan: scan(it, sample=max(1, 2000 // shards)), kind)
         kth = probe.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score").toPandas()
-        known = dict(zip(kth["query_id"], kth["score"], strict=True))
-        floors = spark.sparkContext.broadcast(np.array([known.get(x, -np.inf) for x in block["vec_id"]], float))
+        floors = spark.sparkContext.broadcast(dict(zip(kth["query_id"].tolist(), kth["score"].tolist(), strict=True)))
         found = dealt.mapInPandas(lambda it, scan=scan, floors=floors: scan(it, floors=floors), kind)
         best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         best = best if passes == 1 else stored(best, "topk-found")

@@ -87,6 +87,21 @@ def test_mix(spark, docs, empty):
         assert s.n == pytest.approx(s.t, rel=0.01)
 
 
+def test_mix_meets_targets_with_ids_that_repeat(spark):
+    r = np.random.default_rng(5)
+    rows = [(None if i % 3 else 7, "w " * int(n), "null ids") for i, n in enumerate(r.integers(1, 30, 900))]
+    rows += [(5, "one text that many rows share", "repeats")] * 500 + [(i, "w " * int(n), "plain") for i, n in enumerate(r.integers(1, 300, 600))]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    assert len(got) == len(rows) and all(x.taken <= 3 * x["size"] for x in got)
+    for s in ("null ids", "repeats", "plain"):
+        own = [x for x in got if x.source == s]
+        assert sum(x.taken for x in own) == pytest.approx(own[0].target, rel=0.01)
+    plain = [x for x in got if x.source == "plain"]
+    more = [x.copies > min(y.copies for y in plain) for x in plain]
+    short, long = (np.mean([m for m, x in zip(more, plain, strict=True) if (x["size"] < 60) == small]) for small in (True, False))
+    assert short > long  # chances are unequal
+
+
 def test_targets_stop_and_are_dealt_again(spark):
     got = {r.source: r.target for r in source_targets(spark.createDataFrame([("a", 100), ("b", 1), ("c", 10), (None, 100)], "source string, source_size long")).collect()}
     free = 211 - 3 - 30
@@ -274,6 +289,12 @@ def test_top_k(spark):
         s = n @ n[q]
         want[q] = [(int(i), int(s[i])) for i in sorted(range(700), key=lambda i: (-s[i], i)) if i != q][:10]
     assert dict(got) == want
+    mixed = spark.createDataFrame([(0, [1e9, 2.0]), (1, [1e9, 1.0]), (2, [1e9, 1.0]), (3, [1.0]), (100, [2.0]), (5, [-1e9, 0.0])], "vec_id long, embedding array<double>")
+    want = [(0, 1, 1, topk.LONG), (0, 2, 2, topk.LONG), (0, 3, 5, -topk.LONG), (100, 1, 3, 2 << 20)]
+    assert [tuple(x) for x in topk.top_k(mixed).orderBy("query_id", "rank").collect()] == want
+    large = spark.createDataFrame([(0, [1e5, 1.0]), (1, [9e4, 1.0]), (2, [9e4, 1.001])], "vec_id long, embedding array<double>")
+    exact = lambda x: 102400000 * 92160000 + 1024 * int(np.floor(1024 * x))
+    assert [(x.vec_id, x.score) for x in topk.top_k(large).orderBy("rank").collect()] == [(2, exact(1.001)), (1, exact(1.0))]
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert topk.top_k(few).collect() == [(0, 1, 1, 1024 * 2048)] and topk.top_k(few.limit(0)).count() == 0
 
