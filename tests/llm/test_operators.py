@@ -305,13 +305,66 @@ def test_licences(docs, empty):
     assert len(got) == len(TEXTS) and licenses.scan_licences(empty).count() == 0
 
 
-@pytest.mark.parametrize("text, want", [
-    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "GPL-2.0-or-later"),
-    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ""),
-    ("licensed under CC BY-NC 4.0. Licensed under CC BY 4.0.", "CC-BY-NC-4.0,CC-BY-4.0"),
-])
-def test_licence_sequences(spark, text, want):
-    assert licenses.scan_licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licences == want
+GPL = "This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation{b} either version {v} of the License, or (at your option) any later version."
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{more}
+THIS SOFTWARE IS PROVIDED BY THE AUTHOR ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+THIRD = """
+3. Neither the name of Example University, Inc nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+APACHE = """Copyright 2020 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+NOTICES = [
+    (GPL.format(what="program", a=";", b=";", name="", v="2"), "GPL-2.0-or-later"),
+    (GPL.format(what="program", a=":", b=",", name="", v="3"), "GPL-3.0-or-later"),
+    (GPL.format(what="library", a=";", b=";", name="Lesser ", v="2.1"), "LGPL-2.1-or-later"),
+    (GPL.format(what="library", a=":", b=",", name="Lesser ", v="3"), "LGPL-3.0-or-later"),
+    (GPL.format(what="program", a=":", b=",", name="Affero ", v="3"), "AGPL-3.0-or-later"),
+    ("MIT License\n\nCopyright (c) 2019 Some Body\n\n" + MIT, "MIT"),
+    (MIT, "MIT"),
+    (BSD.format(more=""), "BSD-2-Clause"),
+    (BSD.format(more=THIRD), "BSD-3-Clause"),
+    (APACHE, "Apache-2.0"),
+    (MPL, "MPL-2.0"),
+]
+
+
+def licence_forms():
+    import textwrap
+
+    for text, want in NOTICES:
+        blocks = text.split("\n\n")
+        wrapped = "\n\n".join(textwrap.fill(" ".join(b.split()), 64) for b in blocks)
+        yield from ((x, want) for x in (text, " ".join(text.split()), wrapped, "\n".join(f" * {x}".rstrip() for x in ["/*", *wrapped.split("\n"), "*/"]), "\n".join(f"# {x}" for x in wrapped.split("\n")), f"Some words first.\n\n{wrapped}\n\nAnd some after it."))
+    for title, want in (("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "GPL-3.0-only"), ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991", "GPL-2.0-only"), ("GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "LGPL-3.0-only"), ("Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/", "Apache-2.0"), ("Mozilla Public License Version 2.0\n==================================", "MPL-2.0")):
+        yield f"   {title}\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n   Preamble\n\n" + " ".join([prose(9)] * 3), want
+    yield "licensed under CC BY-NC 4.0. Licensed under CC BY 4.0.", "CC-BY-NC-4.0,CC-BY-4.0"
+    yield "Licensed under CC BY 4.0\nwith words on the next line", "CC-BY-4.0"
+    clauses = BSD.format(more="").split("\n\n")
+    yield "\n\n".join(clauses[:2]), ""
+    yield "\n\n".join([clauses[0], "This sentence has nothing to do with it.", *clauses[1:]]), ""  # pieces far apart are no licence
+    yield "\n\n".join([clauses[0], "This license is another one.", *clauses[1:]]), ""
+
+
+def test_licence_forms(spark):
+    forms = list(licence_forms())
+    got = by_id(licenses.scan_licences(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(forms)], "doc_id long, text string")))
+    assert [(i, got[i].licences, got[i].sequence) for i, (_, want) in enumerate(forms) if got[i].licences != want] == []
 
 
 def test_quality(spark, docs, empty):
