@@ -77,9 +77,15 @@ def fraction_values(c: Column) -> Column:
 
 
 def float_text(x: Column) -> Column:
-    """A double as Python prints it, also beyond the range in which Spark avoids exponents."""
+    """A double as Python prints it: without an exponent from 0.0001 up to 1e16, with one of two digits at least beyond."""
+    java = F.abs(x).cast("string")
+    digits = F.regexp_replace(F.regexp_replace(java, r"E.*$", ""), r"\.0$", "")
+    power = F.regexp_extract(java, r"E-?(\d+)$", 1)
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
     plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,12)").cast("string"), "0+$", ""), r"\.$", ".0")
-    return F.when((F.abs(x) >= 1e7) & (F.abs(x) < 1e16), plain).otherwise(x.cast("string"))
+    short = F.concat(sign, digits, F.when(java.contains("E-"), F.lit("e-")).otherwise(F.lit("e+")), F.when(F.length(power) < 2, F.lit("0")).otherwise(F.lit("")), power)
+    small = F.concat(sign, F.lit("0.000"), F.replace(digits, F.lit("."), F.lit("")))
+    return F.when(~java.contains("E"), x.cast("string")).when((F.abs(x) >= 1e7) & (F.abs(x) < 1e16), plain).when((F.abs(x) >= 1e-4) & (F.abs(x) < 1), small).otherwise(short)
 
 
 def measurement_tokens(raw: Column) -> Column:

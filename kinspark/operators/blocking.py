@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import small, stored
+
 NO_FEATURE = 2**63 - 1  # signature value of an empty set
+LARGE_BUCKET = 4096  # members of a bucket that meet in one task
+COUNTED_ROWS, COUNTED_STEP = 2048, 256  # products of a block, and of the square compared at a time
 # fixed values: primes of the hash functions, in the order in which they are tried
 PRIMES = (2147483647, 4294967311, 1610612741, 805306457, 3221225473)
 
@@ -39,8 +45,11 @@ def signatures(sets: DataFrame, n_hashes: int, universe: int, seed: int = 0) ->
             for h in range(n_hashes if len(some) else 0):
                 if exact:
                     values = ((a[h] * flat + b[h]) % np.uint64(p)).astype(np.int64)
-                else:
-                    values = np.array([(int(a[h]) * int(x) + int(b[h])) % p for x in flat], np.int64)
+                else:  # in halves, so no product passes 2**64
+                    high, low = (a[h] * (flat >> np.uint64(16))) % np.uint64(p), a[h] * (flat & np.uint64(0xFFFF))
+                    for _ in range(16):
+                        high = (high + high) % np.uint64(p)
+                    values = ((high + low % np.uint64(p) + b[h]) % np.uint64(p)).astype(np.int64)
                 out[some, h] = np.minimum.reduceat(values, ends[some])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n_hashes), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("pid"), lists], names=["pid", "sig"])
@@ -72,16 +81,76 @@ def band_slices(n_hashes: int, rows: int, bands: int) -> list[tuple[int, int]]:
 
 
 def band_rows(sigs: DataFrame, n_hashes: int, rows: int, bands: int) -> DataFrame:
-    parts = [F.struct(F.lit(i).alias("band"), F.slice("sig", at + 1, n).alias("key")) for i, (at, n) in enumerate(band_slices(n_hashes, rows, bands))]
-    return sigs.select("pid", F.explode(F.array(*parts)).alias("x")).select("pid", "x.band", "x.key")
+    """pid, band, key (the band's part of the signature; with one row too many, the last is one shorter)."""
+    band_slices(n_hashes, rows, bands)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.slice("sig", i * rows + 1, rows))
+    return sigs.select("pid", F.posexplode(parts).alias("band", "key"))
 
 
 def candidates(sigs: DataFrame, n_hashes: int, rows: int, bands: int) -> DataFrame:
     """Distinct pairs (i, j), i < j, that agree in all rows of some band. Both sides of the join share one exchange; keys are
-    hashed for it and compared in full after it."""
+    hashed for it and compared in full after it. The members of a bucket above LARGE_BUCKET are dealt to several tasks, each of which
+    meets the whole bucket."""
     b = band_rows(sigs, n_hashes, rows, bands).withColumn("hash", F.xxhash64("band", "key"))
-    left, right = b.select("hash", "band", "key", F.col("pid").alias("i")), b.select("hash", F.col("band").alias("band2"), F.col("key").alias("key2"), F.col("pid").alias("j"))
-    return left.join(right, "hash").where("i < j and band = band2 and key = key2").select("i", "j").distinct()
+    large = stored(b.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_BUCKET).select("hash", F.ceil(F.col("n") / LARGE_BUCKET).cast("int").alias("deals")))
+    on = ["hash"]
+    if not large.isEmpty():
+        b = b.join(small(large), "hash", "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
+        on = ["hash", "deal"]
+    left, right = b.withColumn("deal", F.lit(0)), b.withColumn("deal", F.lit(0))
+    if len(on) > 1:
+        left, right = b.withColumn("deal", F.pmod(F.xxhash64("pid"), F.col("deals")).cast("int")), b.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    left, right = left.select(*on, "band", "key", F.col("pid").alias("i")), right.select(*on, F.col("band").alias("band2"), F.col("key").alias("key2"), F.col("pid").alias("j"))
+    return left.join(right, on).where("i < j and band = band2 and key = key2").select("i", "j").distinct()
+
+
+def bucket_pairs(sigs: DataFrame, n_hashes: int, layouts: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """Pairs inside the buckets of each layout, those that meet in several bands counted as often; from bucket sizes."""
+    every = reduce(DataFrame.unionByName, [band_rows(sigs, n_hashes, r, b).select(F.lit(r).alias("r"), F.lit(b).alias("b"), F.xxhash64("band", "key").alias("hash")) for r, b in layouts])
+    n = every.groupBy("r", "b", "hash").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return {(x.r, x.b): x.pairs for x in n.groupBy("r", "b").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).collect()}
+
+
+def counted_pairs(sigs: DataFrame, products: DataFrame, n_hashes: int, layouts: list[tuple[int, int]]) -> DataFrame:
+    """r, b, candidate_pairs, duplicates_found of layouts that nearly all pairs are candidates of. No pair leaves its task: blocks
+    of products meet each other once, each hash function's agreements are found once for all layouts, and only counts come out."""
+    x = sigs.join(products.select("pid", F.xxhash64("model_id").alias("model"), F.col("model_id").isNotNull().alias("named")), "pid")
+    blocks = max(1, math.ceil(sigs.count() / COUNTED_ROWS))
+    own = F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")
+    x = x.select("*", own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    x = x.select(F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") > F.col("other")).alias("second"), "pid", "model", "named", "sig")
+    ends = {(r, b): {at + n - 1 for at, n in band_slices(n_hashes, r, b)} for r, b in layouts}
+
+    def run(table: pa.Table) -> pa.Table:
+        second = table["second"].to_numpy()
+        pid, model, named = (table[c].to_numpy() for c in ("pid", "model", "named"))
+        sig = np.asarray(table["sig"].combine_chunks().flatten()).reshape(len(pid), n_hashes)
+        left, right = np.flatnonzero(~second), np.flatnonzero(second)
+        within = table["one"][0].as_py() == table["two"][0].as_py()
+        right = left if within else right
+        total = np.zeros((len(layouts), 2), np.int64)
+        for u in range(0, len(left), COUNTED_STEP):
+            for v in range(0, len(right), COUNTED_STEP):
+                i, j = left[u : u + COUNTED_STEP], right[v : v + COUNTED_STEP]
+                a, b = np.ascontiguousarray(sig[i].T), np.ascontiguousarray(sig[j].T)
+                found, band = np.zeros((2, len(layouts), len(i), len(j)), bool)
+                band[:] = True
+                for h in range(n_hashes):
+                    same = a[h][:, None] == b[h][None]
+                    for k, last in enumerate(ends.values()):
+                        band[k] &= same
+                        if h in last:
+                            found[k] |= band[k]
+                            band[k] = True
+                if within:
+                    found &= pid[i][:, None] < pid[j][None]
+                equal = (model[i][:, None] == model[j][None]) & named[i][:, None] & named[j][None]
+                total += np.stack([found.sum((1, 2)), (found & equal).sum((1, 2))], 1)
+        r, b = zip(*layouts, strict=True)
+        return pa.table({"r": pa.array(r, pa.int32()), "b": pa.array(b, pa.int32()), "n": total[:, 0], "dup": total[:, 1]})
+
+    each = x.groupBy("one", "two").applyInArrow(run, "r int, b int, n long, dup long")
+    return each.groupBy("r", "b").agg(F.sum("n").cast("double").alias("candidate_pairs"), F.sum("dup").cast("double").alias("duplicates_found"))
 
 
 def gold_pairs(products: DataFrame) -> DataFrame:

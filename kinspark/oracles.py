@@ -210,6 +210,14 @@ SQL = {
     "feature_sets": with_ctes("SELECT p.pid, coalesce(string_agg(CAST(fid AS VARCHAR), ',' ORDER BY fid), '') AS fids FROM products p LEFT JOIN fids f USING (pid) GROUP BY p.pid"),
     "minhash_signatures": with_ctes("SELECT pid, h, m AS value FROM minima"),
     "lsh_exact": with_ctes("SELECT i, j FROM cands"),
+    "token_dump": with_ctes("SELECT p.pid AS index, model_id, shop, title, coalesce(t.tokens, '') AS tokens FROM products p LEFT JOIN (SELECT pid, string_agg(token, ' ' ORDER BY token) AS tokens FROM base_tokens GROUP BY pid) t USING (pid)"),
+    "no_attributes_guard": with_ctes("SELECT i, j FROM comparable WHERE i % 3 <> 0 AND j % 3 <> 0"),
+    "all_pairs_partners": with_ctes("SELECT i, partners FROM (SELECT pid AS i, count(*) OVER () - row_number() OVER (ORDER BY pid) AS partners FROM products) x WHERE partners > 0"),
+    "vocabulary_size": with_ctes("SELECT greatest(count(*), 1) AS size FROM vocab"),
+    "catalogue_round_trip": "SELECT CAST(p_partkey AS VARCHAR) AS model_id, p_type AS shop, trim(p_name) AS title, '' AS url, '0=Brand=' || p_brand || ';1=Size=' || CAST(p_size AS VARCHAR) AS features FROM part",
+    "results_round_trip": """SELECT p_type AS variant, CAST(p_size AS INTEGER) AS r, 1 AS b, count(*) / CAST(8 AS DOUBLE) AS t_lsh, count(*) * CAST(1000 AS DOUBLE) AS cand_pairs_lsh, CAST(count(*) AS DOUBLE) AS dup_lsh,
+        CAST(max(p_size) AS DOUBLE) / 64 AS "PQ_lsh", CAST(count(*) AS DOUBLE) / 16 AS "PC_lsh", CAST(max(p_size) AS DOUBLE) / 4 AS "F1star_lsh", CAST(count(*) AS DOUBLE) AS "F1_clu", CAST(max(p_size) AS DOUBLE) AS "Prec_clu",
+        CAST(count(*) * max(p_size) AS DOUBLE) AS "Rec_clu", round(count(*) * CAST(1000 AS DOUBLE) / CAST(187578 AS DOUBLE), 6) AS frac_comp FROM part GROUP BY p_type, p_size""",
     "lsh_plus_one": with_ctes("SELECT i, j FROM cands_plus"),
     "empty_set_collisions": "SELECT a.doc_id AS i, b.doc_id AS j FROM labels a JOIN labels b ON a.doc_id < b.doc_id WHERE a.toxic = 1 AND b.toxic = 1",
     "rb_layouts": "SELECT r, (840 + e) // r AS b FROM range(1, 841) t(r), (VALUES (0), (1)) x(e) WHERE (840 + e) % r = 0 AND (e = 0 OR r > 1)",

@@ -12,10 +12,10 @@ from .operators import evaluate as E
 from .operators import pairs as P
 from .operators import tokens as K
 from .operators.cluster import link
-from .operators.store import stored
+from .operators.store import shared_path, stored
 from .oracles import CFG
 from .plans import studies
-from .sources.catalogue import feature_list, parts_as_products
+from .sources.catalogue import FEATURES, feature_list, load_catalogue, load_results, parts_as_products, write_results, write_tokens
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -135,6 +135,41 @@ def _json(spark: SparkSession, d: str) -> DataFrame:
     return x.select("event_id", "f.pos", "f.key", "f.value")
 
 
+def _catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Parts written as JSON catalogues, one for each type, and loaded again."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    variant = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("modelID"), F.concat(F.lit("  "), "p_name", F.lit("\t")).alias("title"), F.col("p_type").alias("shop"), F.create_map(F.lit("Brand"), F.col("p_brand"), F.lit("Size"), F.col("p_size").cast("string")).alias("featuresMap")))
+    entry = F.concat(F.to_json(F.array(F.concat(F.lit("k"), F.col("p_partkey").cast("string")))).substr(F.lit(2), F.length(F.concat(F.lit("k"), F.col("p_partkey").cast("string"))) + 2), F.lit(": ["), variant, F.lit("]"))
+    files = part.groupBy(F.pmod("p_partkey", F.lit(64)).alias("file")).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ", "), F.lit("}")).alias("value"))
+    path = shared_path(spark, "catalogue")
+    files.write.partitionBy("file").text(path, lineSep=" ")
+    p = load_catalogue(spark, f"{path}/file=*")
+    return p.select("model_id", "shop", "title", "url", F.array_join(F.transform("features", lambda f: F.concat_ws("=", f["pos"].cast("string"), f["key"], f["value"])), ";").alias("features"))
+
+
+def _dump(p: DataFrame) -> DataFrame:
+    path = shared_path(p.sparkSession, "tokens")
+    write_tokens(_tokens(p), p, path)
+    x = p.sparkSession.read.schema("index long, modelID string, shop string, title string, tokens array<string>").json(path)
+    return x.select("index", F.col("modelID").alias("model_id"), "shop", "title", F.array_join("tokens", " ").alias("tokens"))
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """Averages over parts in the form of a grid's results, written as CSV and loaded again."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    n, high = F.count(F.lit(1)).cast("double"), F.max("p_size").cast("double")
+    x = part.groupBy(F.col("p_type").alias("variant"), F.col("p_size").cast("int").alias("r")).agg(F.lit(1).alias("b"), *[v.alias(c) for c, v in zip(("t_lsh", "cand_pairs_lsh", "dup_lsh", "PQ_lsh", "PC_lsh", "F1star_lsh", "F1_clu", "Prec_clu", "Rec_clu"), (n / 8, n * 1000, n, high / 64, n / 16, high / 4, n, high, n * high), strict=True)])
+    path = shared_path(spark, "results")
+    write_results(x, path)
+    return _rounded(load_results(spark, path), "frac_comp")
+
+
+def _guarded(p: DataFrame) -> DataFrame:
+    """Comparable candidates when every third product has no attributes."""
+    bare = F.when(F.col("pid") % 3 == 0, F.array().cast(FEATURES)).otherwise(F.col("features"))
+    return P.comparable(stored(_candidates(p)), P.profiles(p.withColumn("features", bare), CFG.q)).select("i", "j")
+
+
 def _tuned(p: DataFrame) -> DataFrame:
     return studies.tune(p, "base", studies.Config(n_hashes=24, seed=42, bootstraps=1), [(3, 8), (4, 6)])
 
@@ -173,6 +208,11 @@ ON_PRODUCTS = {
     "attribute_matches": _matches,
     "hybrid_similarity": lambda p: _rounded(_scored(p), "avg_sim", "model_sim", "title_sim", "dist"),
     "cluster_labels": _cluster_labels,
+    "token_dump": _dump,
+    "no_attributes_guard": _guarded,
+    "all_pairs_partners": lambda p: B.all_pairs(p).groupBy("i").agg(F.count(F.lit(1)).alias("partners")),
+    "vocabulary_size": lambda p: stored(_sets(p)).agg(F.coalesce(F.max(F.array_max("fids")) + 1, F.lit(1)).alias("size")),
+    "blocking_study": studies.blocking_study,
     "grid_tuning": _tuned,
 }
 ON_TABLES = {
@@ -185,5 +225,7 @@ ON_TABLES = {
     "auc_trapezoid": lambda spark, d: _rounded(E.area(_curve(spark, d), "x", "y", ["variant"]), "auc"),
     "relative_auc": lambda spark, d: _rounded(E.relative_area(_curve(spark, d), "ECONOMY"), "auc", "gain"),
     "json_flatten": _json,
+    "catalogue_round_trip": _catalogue,
+    "results_round_trip": _results,
 }
 QUERIES = {name: (lambda spark, d, f=f: f(parts_as_products(spark, d))) for name, f in ON_PRODUCTS.items()} | ON_TABLES

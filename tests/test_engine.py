@@ -86,6 +86,29 @@ def test_layouts():
     assert B.hash_parameters(2, 4, 0) == ([(1813382119, 827307999), (1627694679, 1911784257)], 2147483647)
 
 
+def test_counted_pairs_agree_with_joined_ones(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    n, layouts = 90, B.layouts(12)
+    sigs = spark.createDataFrame([(i, rng.integers(0, 4, 12).tolist()) for i in range(n)] + [(n, [B.NO_FEATURE] * 12), (n + 1, [B.NO_FEATURE] * 12)], "pid long, sig array<long>")
+    products = spark.createDataFrame([(i, None if i == 7 or i == 8 else str(i % 20)) for i in range(n + 2)], "pid long, model_id string")
+    joined = {(r, b): E.blocking_metrics(B.candidates(sigs, 12, r, b), products).first().asDict() for r, b in layouts}
+    monkeypatch.setattr(B, "COUNTED_ROWS", 25)
+    monkeypatch.setattr(B, "COUNTED_STEP", 16)
+    for dense in (0.0, 0.05, 2.0):
+        monkeypatch.setattr(studies, "DENSE", dense)
+        got = {(x.r, x.b): x.asDict() for x in studies.blocking_grid(products, sigs, 12).collect()}
+        assert got == {(r, b): {"r": r, "b": b, **m} for (r, b), m in joined.items()}
+    monkeypatch.setattr(B, "LARGE_BUCKET", 3)
+    assert {(r, b): B.candidates(sigs, 12, r, b).count() for r, b in layouts} == {k: m["candidate_pairs"] for k, m in joined.items()}
+
+
+def test_signatures_with_a_wide_universe(spark):
+    ids = [0, 5, 2**33, 2**33 + 7]
+    ab, p = B.hash_parameters(8, 2**33 + 8, 3)
+    got = B.signatures(spark.createDataFrame([(1, ids)], "pid long, fids array<long>"), 8, 2**33 + 8, 3).first().sig
+    assert p * (2**33 + 9) >= 2**64 and list(got) == [min((a * x + b) % p for x in ids) for a, b in ab]
+
+
 def naive_linkage(n, dist, eps):
     clusters = [{i} for i in range(n)]
     while True:

@@ -80,3 +80,9 @@ def test_set_measures(spark, a, b):
     assert row["d"] == pytest.approx(2 * common / (len(ga) + len(gb)) if ga or gb else 0)
     assert row["j"] == pytest.approx(common / len(ga | gb) if ga and gb else 0)
     assert row["c"] == pytest.approx(common / (len(ga) ** 0.5 + len(gb) ** 0.5) if ga or gb else 0)
+
+
+def test_floats_as_python_prints_them(spark):
+    values = [0.0005, 5e-05, 0.00012345, 1.5e-07, 0.001, 0.5, 3.0, -0.0005, -2e-09, 123456789.25, 1e15, 1e16, 2.5e17, 1e100]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(T.float_text(F.col("x"))).collect()
+    assert [r[0] for r in got] == [repr(v) for v in values]
