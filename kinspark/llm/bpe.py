@@ -23,7 +23,7 @@ from .util import as_bytes, chunks
 
 # fixed values of byte-level BPE: the pattern that splits a text into words
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED = 250_000  # words whose ids a worker keeps at most
+REMEMBERED = 150_000  # words whose ids a worker keeps at most
 NONE = 1 << 30  # rank of a pair that doesn't merge
 SIDE_BY_SIDE = 256  # words of up to so many bytes share an array
 
@@ -243,6 +243,7 @@ def _mapped(docs: DataFrame, path: str, columns: dict[str, str], run, types: dic
                 part = batch.slice(a, b - a)
                 results = run(own, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(r, t) for r, t in zip(results, types.values(), strict=True)]], names=["doc_id", *types])
+            pa.default_memory_pool().release_unused()
 
     return mine.mapInArrow(batches, f"doc_id {id_type}, {out}")
 

@@ -113,6 +113,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = [hashlib.sha256(raw[s:e]).digest()[:16] for s, e in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(keys[some].ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(digest, pa.binary()), lists], names=["doc_id", "digest", "bands"])
+        pa.default_memory_pool().release_unused()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import wordhash as H
-from .util import arrow_table, as_bytes, chunks, discard, stored
+from .util import as_bytes, chunks, discard, stored
 
 TRAINING_ROWS, TRAINING_BYTES = 5000, 64 << 20  # labelled documents that training takes at most, in the order of a hash of their ids
 MOST_FEATURES = 50_000  # weights that a model keeps at most, the largest ones
@@ -209,30 +209,31 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     return train(got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), (got["y"].to_numpy() > 0).astype(float))
 
 
+ARROW = {"double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}
 FIELDS = "score double, predicted int, n_sentences long, worst_sentence long, worst_start long, worst_end long, worst_score double"
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep of docs with score (0 to 1), predicted (1 from 0.5), and the sentence most likely to offend: its
     number from 0, its first byte and the byte behind it, and its own score. Null and empty texts are one empty sentence
-    that gets the bias alone. Columns of docs with clashing names do no harm unless they are in keep; a struct of all columns is a safe one to keep."""
+    that gets the bias alone. Columns of docs with clashing names do no harm unless they are in keep."""
     out = docs.sparkSession.sparkContext.broadcast(model)
-    mine = docs.select(*keep, F.col(text).alias("__text"))
-    fields = [f.strip().split(" ") for f in FIELDS.split(",")]
+    own_text = text if text in keep else "__text"
+    mine = docs.select(*keep, *([] if text in keep else [F.col(text).alias(own_text)]))
+    fields = StructType.fromDDL(FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = as_bytes(batch.column("__text"))
-            parts = [out.value.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
-            if not parts:
-                continue
-            s, count, worst, start, end, chance = (np.concatenate(x) for x in zip(*parts, strict=True))
-            columns = {"score": s, "predicted": (s >= 0.5).astype(np.int32), "n_sentences": count, "worst_sentence": worst, "worst_start": start, "worst_end": end, "worst_score": chance}
-            own = {f.name: batch.column(f.name) for f in batch.schema if f.name != "__text"}
-            schema = pa.schema([*(batch.schema.field(k) for k in own), *((n, {"double": pa.float64(), "int": pa.int32(), "long": pa.int64()}[t]) for n, t in fields)])
-            yield arrow_table(schema, **own, **columns)
-
-    return mine.mapInArrow(run, StructType([*(f for f in mine.schema if f.name != "__text"), *StructType.fromDDL(FIELDS)]))
+            data, offsets = as_bytes(batch.column(own_text))
+            for a, b in chunks(offsets):
+                s, *rest = out.value.score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                columns = [s, (s >= 0.5).astype(np.int32), *rest]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array(c, ARROW[f.dataType.simpleString()]) for c, f in zip(columns, fields, strict=True))], names=[*keep, *fields.names])
+            del batch, data
+            pa.default_memory_pool().release_unused()
+
+    return mine.mapInArrow(run, StructType([*(f for f in mine.schema if f.name in keep), *fields]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -77,10 +77,6 @@ def chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         at = min(end, n)
 
 
-def arrow_table(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
-
-
 def binary_rows(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Binary values: row i holds data[ends[i-1]:ends[i]] as bytes."""
     raw = np.ascontiguousarray(data).view(np.uint8) if data.size else np.zeros(0, np.uint8)
