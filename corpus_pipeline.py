@@ -1,7 +1,7 @@
 """Training-data pipeline over documents: toxic documents go, then exact copies, then near copies; sources are mixed to
 their weights, and what is left is encoded. Each stage reads what the one before has written.
 
-Stages carry whole rows as one struct, so columns of any name pass through them unharmed. An empty table stays empty."""
+Stages carry whole rows as one struct or under other names, so columns of any name pass through them unharmed. An empty table stays empty."""
 
 from __future__ import annotations
 
@@ -21,8 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model scores below 0.5. Null and empty texts get the bias alone, which is low, and stay; rows that repeat share
     a decision; a null id matters to training only, which leaves it out."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = docs.select(F.struct(F.struct("*").alias("row")).alias("kept"), "text")
-    return score(rows, model, keep=("kept",)).where("predicted = 0").select("kept.row.*")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no name clashes with those of scores
+    scored = score(docs.toDF(*names.values()), model, text=names["text"], keep=tuple(names.values()))
+    return scored.where("predicted = 0").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
