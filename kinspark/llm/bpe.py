@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import as_bytes, chunks
+from .util import as_bytes, chunks, release
 
 # fixed values of byte-level BPE: the pattern that splits a text into words
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -238,12 +238,12 @@ def _mapped(docs: DataFrame, path: str, columns: dict[str, str], run, types: dic
         own = codec(file.value)
         for batch in source:
             _, offsets = as_bytes(batch.column(1)) if pa.types.is_string(batch.column(1).type) or pa.types.is_large_string(batch.column(1).type) else (None, None)
-            pieces = chunks(offsets, 2 << 20) if offsets is not None else [(0, batch.num_rows)]
+            pieces = chunks(offsets, 1 << 20) if offsets is not None else [(0, batch.num_rows)]
             for a, b in pieces:
                 part = batch.slice(a, b - a)
                 results = run(own, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(r, t) for r, t in zip(results, types.values(), strict=True)]], names=["doc_id", *types])
-            pa.default_memory_pool().release_unused()
+            release()
 
     return mine.mapInArrow(batches, f"doc_id {id_type}, {out}")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as H
-from .util import as_bytes, binary_rows, chunks, small, stored
+from .util import as_bytes, binary_rows, chunks, release, small, stored
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6  # a pair at 0.8 meets in some band with chance 0.99994
@@ -113,7 +113,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = [hashlib.sha256(raw[s:e]).digest()[:16] for s, e in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(keys[some].ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(digest, pa.binary()), lists], names=["doc_id", "digest", "bands"])
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +125,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = prob_minhash(text, names, counts, b - a).astype(np.uint32)
             registers = binary_rows(low.ravel(), np.arange(1, b - a + 1) * low.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), binary_rows(names, ends), binary_rows(counts.astype(np.uint32), ends), registers], names=["doc_id", "names", "counts", "registers"])
+        release()
 
 
 def _compare_blocks(threshold: float):
@@ -179,6 +180,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sim = [similarity(sets(batch, "a", i), sets(batch, "b", i)) for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
+        release()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

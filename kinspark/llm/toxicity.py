@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import wordhash as H
-from .util import as_bytes, chunks, discard, stored
+from .util import as_bytes, chunks, discard, release, stored
 
 TRAINING_ROWS, TRAINING_BYTES = 5000, 64 << 20  # labelled documents that training takes at most, in the order of a hash of their ids
 MOST_FEATURES = 50_000  # weights that a model keeps at most, the largest ones
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array(c, ARROW[f.dataType.simpleString()]) for c, f in zip(columns, fields, strict=True))], names=[*keep, *fields.names])
             del batch, data
-            pa.default_memory_pool().release_unused()
+            release()
 
     return mine.mapInArrow(run, StructType([*(f for f in mine.schema if f.name in keep), *fields]))
 

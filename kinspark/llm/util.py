@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,6 +78,14 @@ def chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         at = min(end, n)
 
 
+def release() -> None:
+    """Gives memory that Arrow and numpy have freed back to the system, so that a worker stays small between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def binary_rows(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Binary values: row i holds data[ends[i-1]:ends[i]] as bytes."""
     raw = np.ascontiguousarray(data).view(np.uint8) if data.size else np.zeros(0, np.uint8)
