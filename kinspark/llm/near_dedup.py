@@ -4,7 +4,8 @@ Each shingle's arrivals are a Poisson process whose rate is its weight (its coun
 register, and a register keeps the shingle that hits it first. Two texts agree in a register with the chance of their
 probability Jaccard similarity. A text's processes stop once no later arrival can come first anywhere.
 
-Identical texts are one class before anything else. Texts that share a band are compared with the first of their bucket.
+Identical texts are one class before anything else. Texts that share a band are compared with the first of their bucket, at
+first only with the least of these, and with the others where that has linked them to something else.
 Larger buckets then join into groups, by the members they have in common. What is linked to a group's largest component
 is done; the others are compared with the whole group, in blocks: first by registers, then in full those that registers
 leave possible and that aren't linked yet. Members of small buckets outside of groups are compared pair by pair. So no
@@ -226,7 +227,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     own = rows.where("doc_id is not null").join(small(involved), "doc_id").join(small(stored(member.where("doc_id <> copy_of").select("doc_id").distinct(), "near-others")), "doc_id", "left_anti")
     sets = stored(own.dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, names binary, counts binary, registers binary"), "near-sets")
 
-    tested = _verified(buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), sets)
+    # each text first meets the least hub of its buckets, then only those hubs that this hasn't linked it to
+    linked = buckets.where("doc_id <> hub").groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("a"))
+    tested = _verified(linked, sets)
+    labels = small(stored(components(tested.where(F.col("similarity") >= threshold)), "near-linked"))
+    named = stored(buckets.select("key", "doc_id").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")), "near-named")
+    hubs = named.groupBy("key").agg(F.min(F.struct("doc_id", "label")).alias("hub"), F.max("label").alias("high"), F.min("label").alias("low")).where("high <> low").select("key", "hub")
+    more = named.join(hubs, "key").where("label <> hub.label").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    tested = stored(tested.unionByName(_verified(more, sets)), "near-tested")
     links = tested.where(F.col("similarity") >= threshold)
 
     # groups of large buckets, in blocks
