@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as H
-from .util import as_bytes, binary_rows, chunks, release, small, stored
+from .util import as_bytes, binary_rows, by_key, chunks, discard, release, small, stored
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6  # a pair at 0.8 meets in some band with chance 0.99994
 SMALL_BUCKET = 6  # buckets of more members are compared in blocks
 BLOCK_ROWS = 256
+DEAL = 4096  # pairs of one text that meet in a task
 LEAST_AGREEMENT = 0.66  # of registers; at 0.8 as many agree but for one pair in a million
 _PLACES = H.CODES[:64]
 
@@ -185,25 +186,34 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs with their similarity. A text that is a of very many pairs, a hub, meets them in several tasks, DEAL at a time."""
+    pairs = stored(pairs.select("a", "b"), "near-candidates")
+    counts = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEAL).cast("int").alias("deals")), "near-deals")
+    dealt = by_key(pairs, counts, "a").withColumn("deal", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int")).drop("deals")
     side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("names").alias(f"names_{s}"), F.col("counts").alias(f"counts_{s}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "names_a", "counts_a", "names_b", "counts_b")
-    return stored(both.mapInArrow(_compare, "a long, b long, similarity double"), "near-pairs")
+    copies = side("a").join(small(counts), "a").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+    both = dealt.join(copies, ["a", "deal"]).join(side("b"), "b").select("a", "b", "names_a", "counts_a", "names_b", "counts_b")
+    out = stored(both.mapInArrow(_compare, "a long, b long, similarity double"), "near-pairs")
+    discard(pairs, counts)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
     """doc_id, label for the ends of links (a, b): the least id that can be reached. Labels spread to neighbours, then to
-    where their own label points, until nothing changes; each round is a stored table."""
+    where their own label points, until nothing changes; each round is a stored table, and goes once the next is there."""
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges")
-    labels = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("doc_id"), "label"), "near-labels")
+    labels = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "doc_id"), "near-labels")
     while True:
-        heard = edges.join(labels.select(F.col("doc_id").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        nearer = labels.join(heard.withColumnRenamed("a", "doc_id"), "doc_id").select("doc_id", F.least("label", "other").alias("label"), F.col("label").alias("was"))
+        heard = by_key(edges, labels.select(F.col("doc_id").alias("b"), F.col("label").alias("other"), "degree"), "b", n="degree").groupBy("a").agg(F.min("other").alias("other"))
+        nearer = labels.join(heard.withColumnRenamed("a", "doc_id"), "doc_id").select("doc_id", F.least("label", "other").alias("label"), F.col("label").alias("was"), "degree")
         nearer = stored(nearer, "near-labels")
         up = nearer.select(F.col("doc_id").alias("label"), F.col("label").alias("root"))
-        new = stored(nearer.join(up, "label", "left").select("doc_id", F.least("label", F.coalesce("root", "label")).alias("label"), "was"), "near-labels")
-        labels = new.select("doc_id", "label")
+        new = stored(by_key(nearer, up, "label").select("doc_id", F.least("label", F.coalesce("root", "label")).alias("label"), "was", "degree"), "near-labels")
+        discard(labels, nearer)
+        labels = new
         if new.where("label <> was").limit(1).count() == 0:
-            return labels
+            discard(edges)
+            return labels.select("doc_id", "label")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -217,11 +227,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     signed = stored(rows.mapInArrow(_sign, "doc_id long, digest binary, bands array<long>"), "near-signed")
-    first = stored(signed.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "near-copies")
-    member = stored(signed.join(first, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"), "bands"), "near-members")
-    keys = member.where("doc_id = copy_of").select("doc_id", F.explode("bands").alias("key")).distinct()
-    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = stored(keys.join(hubs, "key"), "near-buckets")
+    first = stored(signed.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-copies")
+    copy_of = F.when(F.col("doc_id").isNotNull(), F.coalesce("copy_of", "doc_id")).alias("copy_of")
+    member = stored(by_key(signed, first, "digest", n="n").select("doc_id", copy_of, "bands"), "near-members")
+    discard(signed, first)
+    keys = member.where("doc_id = copy_of").select("doc_id", "bands").distinct().select("doc_id", F.explode(F.array_distinct("bands")).alias("key"))
+    hubs = stored(keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-hubs")
+    buckets = stored(by_key(keys, hubs, "key", "inner", n="n"), "near-buckets")
 
     involved = stored(buckets.select("doc_id").distinct(), "near-involved")
     own = rows.where("doc_id is not null").join(small(involved), "doc_id").join(small(stored(member.where("doc_id <> copy_of").select("doc_id").distinct(), "near-others")), "doc_id", "left_anti")
@@ -232,8 +244,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     tested = _verified(linked, sets)
     labels = small(stored(components(tested.where(F.col("similarity") >= threshold)), "near-linked"))
     named = stored(buckets.select("key", "doc_id").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")), "near-named")
-    hubs = named.groupBy("key").agg(F.min(F.struct("doc_id", "label")).alias("hub"), F.max("label").alias("high"), F.min("label").alias("low")).where("high <> low").select("key", "hub")
-    more = named.join(hubs, "key").where("label <> hub.label").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    hubs = named.groupBy("key").agg(F.min(F.struct("doc_id", "label")).alias("hub"), F.max("label").alias("high"), F.min("label").alias("low"), F.count(F.lit(1)).alias("n")).where("high <> low").select("key", "hub", "n")
+    more = by_key(named, stored(hubs, "near-open"), "key", "inner", n="n").where("label <> hub.label").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     tested = stored(tested.unionByName(_verified(more, sets)), "near-tested")
     links = tested.where(F.col("similarity") >= threshold)
 
@@ -243,7 +255,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sizes = placed.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
-    x = placed.join(stored(main, "near-main"), "grp").withColumn("inside", F.col("label") == F.col("main"))
+    x = by_key(placed, stored(main, "near-main"), "grp", "inner", n="n_all").withColumn("inside", F.col("label") == F.col("main"))
     x = x.withColumn("outer_blocks", blocks(F.col("n_all") - F.col("n_main"))).withColumn("inner_blocks", blocks(F.col("n_main")))
     x = x.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("inside"), F.col("inner_blocks")).otherwise(F.col("outer_blocks"))).cast("int"))
     # a text outside meets its own block, the other outer ones, and the inner ones, whose numbers follow; one inside meets the outer ones
@@ -266,6 +278,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     labels = components(links).select(F.col("doc_id").alias("copy_of"), "label")
     degree = links.select(F.explode(F.array("a", "b")).alias("copy_of")).groupBy("copy_of").agg(F.count(F.lit(1)).alias("n_links"))
     classes = stored(labels.join(degree, "copy_of", "left"), "near-classes")
+    discard(buckets, involved, sets, named, tested, placed, near)
     out = member.select("doc_id", "copy_of").join(small(classes), "copy_of", "left")
     class_id = F.coalesce("label", "copy_of")
     return out.select("doc_id", "copy_of", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(class_id)).alias("kept"))

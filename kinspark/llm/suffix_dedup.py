@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as H
-from .util import as_bytes, binary_rows, chunks, partitions, small, stored
+from .util import as_bytes, binary_rows, by_key, chunks, partitions, small, stored
 
 LENGTH, KGRAM = 50, 20
 AROUND = LENGTH - KGRAM  # a minimizer lies up to so many bytes behind its string's start
@@ -506,8 +506,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     parts = partitions(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
     base = stored(rows.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "suffix-base")
-    copies = base.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first_id"))
-    marked = stored(base.join(copies, "sha", "left"), "suffix-copies")
+    copies = base.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    marked = by_key(base, stored(copies, "suffix-first"), "sha", n="n").select("doc_id", "sha", "n_bytes", F.coalesce("first_id", "doc_id").alias("first_id"))
+    marked = stored(marked, "suffix-copies")
     part_ids = marked.where("doc_id = first_id and n_bytes >= 50").groupBy("doc_id").agg(F.min("sha").alias("own_sha"))
     idle = stored(marked.join(part_ids, "doc_id", "left").where("own_sha is null or sha <> own_sha").select("doc_id", "sha").distinct(), "suffix-idle")
     taking = rows.where("doc_id is not null").join(small(idle), ["doc_id", "sha"], "left_anti").select("doc_id", "text")

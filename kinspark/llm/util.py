@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000  # largest table of narrow rows that is ever broadcast
+HOT_KEYS = 20_000  # a key is hot if it has more than one in so many of all rows
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,6 +52,29 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def by_key(rows: DataFrame, table: DataFrame, key: str, how: str = "left", n: str | None = None, limit: int = BROADCAST_ROWS, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """rows joined with table (stored, one row for each key, its other columns not in rows), "left" or "inner"; no key's rows meet in one task.
+
+    A table of at most limit rows is broadcast. Of a larger one, keys that hold more than one in hot_keys of all rows are: there can't be more
+    than hot_keys of them. The other keys are shuffled, and rows that have their values by then go anywhere. n: the column of table with the
+    number of the key's rows, counted here if it isn't named. Null keys find nothing."""
+    if table.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(table), key, how)
+    values = [c for c in table.columns if c != key]
+    if n is None:
+        n = "__n"
+        table = stored(table.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias(n)), key), "counted")
+    least = (table.agg(F.sum(n)).first()[0] or 0) / hot_keys
+    packed = lambda t, name: t.select(F.col(key).alias(f"__{name}_key"), F.struct(*values).alias(f"__{name}"))
+    out = rows.join(F.broadcast(packed(table.where(F.col(n) > least), "hot")), F.col(key) == F.col("__hot_key"), "left")
+    out = out.withColumn("__salt", F.when(F.col("__hot").isNotNull() | F.col(key).isNull(), F.xxhash64(*rows.columns).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
+    cold = packed(table.where(F.col(n) <= least), "cold").withColumn("__none", F.lit(0).cast("long"))
+    out = out.join(cold, (F.col(key) == F.col("__cold_key")) & (F.col("__salt") == F.col("__none")), "left").withColumn("__got", F.coalesce("__hot", "__cold"))
+    if how == "inner":
+        out = out.where(F.col("__got").isNotNull())
+    return out.select(key, *[c for c in rows.columns if c != key], *[F.col("__got")[c].alias(c) for c in values])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

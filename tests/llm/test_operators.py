@@ -2,6 +2,7 @@
 extra columns whose names clash; and on an empty table."""
 
 import collections
+import functools
 import hashlib
 import re
 import zlib
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinspark.llm import bpe, licenses, lm, near_dedup, quality, suffix_dedup, topk, toxicity, wordhash
+from kinspark.llm import bpe, licenses, lm, near_dedup, quality, suffix_dedup, topk, toxicity, util, wordhash
 from kinspark.llm import lm_model as M
 from kinspark.llm.exact_dedup import exact_duplicates
 from kinspark.llm.mixing import mix, source_targets
@@ -543,3 +544,26 @@ def test_hashes_don_t_depend_on_place():
     names = wordhash.spans(wordhash.running(data), first, last)
     assert begin.tolist() == [0, 2, 5] and names[0] == names[2] == names[4] and names[1] == names[3] and names[0] != names[1]
     assert pa.array([1]).to_pylist() == [1]
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("n", [None, "n"])
+def test_join_with_hot_keys(spark, how, n):
+    keys = ["hot"] * 60 + [None, None] + [f"k{i % 15}" for i in range(45)] + ["alone"]
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, key string")
+    held = collections.Counter(k for k in keys if k and k != "alone")
+    table = spark.createDataFrame([(k, k.upper(), c) for k, c in held.items()], "key string, value string, n long")
+    got = util.by_key(rows, table, "key", how, n=n, limit=0, hot_keys=10).select("id", "key", "value").collect()
+    want = [(i, k, k.upper() if k in held else None) for i, k in enumerate(keys) if how == "left" or k in held]
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_dedup_with_hot_keys(docs, monkeypatch):
+    """The way for large tables gives what broadcasts give."""
+    near, passages = (sorted(map(str, f(docs).collect())) for f in (near_dedup.near_duplicates, suffix_dedup.repeated_passages))
+    for module in (near_dedup, suffix_dedup):
+        monkeypatch.setattr(module, "by_key", functools.partial(util.by_key, limit=0, hot_keys=12))
+        monkeypatch.setattr(module, "small", lambda df: df)
+    monkeypatch.setattr(near_dedup, "DEAL", 2)
+    assert sorted(map(str, near_dedup.near_duplicates(docs).collect())) == near
+    assert sorted(map(str, suffix_dedup.repeated_passages(docs).collect())) == passages
