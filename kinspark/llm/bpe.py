@@ -238,7 +238,7 @@ def _mapped(docs: DataFrame, path: str, columns: dict[str, str], run, types: dic
         own = codec(file.value)
         for batch in source:
             _, offsets = as_bytes(batch.column(1)) if pa.types.is_string(batch.column(1).type) or pa.types.is_large_string(batch.column(1).type) else (None, None)
-            pieces = chunks(offsets, 1 << 20) if offsets is not None else [(0, batch.num_rows)]
+            pieces = chunks(offsets, 1 << 18) if offsets is not None else [(0, batch.num_rows)]
             for a, b in pieces:
                 part = batch.slice(a, b - a)
                 results = run(own, part.column(1))
