@@ -108,6 +108,22 @@ def test_no_pair_is_made_to_count_partners(spark):
     assert "Join" not in B.partner_counts(p)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_counting_makes_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, str(i % 9), str(i % 3), "sony tv" if i % 4 else "lg tv", [] if i % 5 == 0 else [(0, "k", "v")], rng.integers(0, 3, 12).tolist()) for i in range(160)]
+    p = spark.createDataFrame(rows + [(200 + i, *rows[0][1:]) for i in range(70)], "pid long, model_id string, shop string, title string, features array<struct<pos:int,key:string,value:string>>, sig array<long>")
+    sigs, pairs = p.select("pid", "sig"), B.candidates(p.select("pid", "sig"), 12, 3, 4).cache()
+    want = (pairs.count(), score_pairs(p, pairs).count())
+    metrics = {(r, b): E.blocking_metrics(B.candidates(sigs, 12, r, b), p).first().asDict() for r, b in ((3, 4), (6, 2))}
+    for name in ("candidates", "bucket_pairs"):
+        monkeypatch.setattr(B, name, None)
+    assert tuple(studies.filter_counts(p, sigs, 12, 3, 4).first()) == want
+    for (r, b), m in metrics.items():
+        assert studies.blocking_grid(p, sigs, 12, [(r, b)]).first().asDict() == {"r": r, "b": b, **m}
+    monkeypatch.setattr(B, "CODED_VALUES", 3)  # values as they are
+    assert tuple(studies.filter_counts(p, sigs, 12, 3, 4).first()) == want
+
+
 def test_signatures_with_a_wide_universe(spark):
     ids = [0, 5, 2**33, 2**33 + 7]
     ab, p = B.hash_parameters(8, 2**33 + 8, 3)
