@@ -34,7 +34,7 @@ from .util import as_bytes, binary_rows, chunks, partitions, stored
 END = 50256  # id of the end of a text in the vocabulary
 FREQUENT = 50_000  # words whose counts are broadcast at most
 SAMPLE = 64  # one of so many training texts tells which words are frequent
-TRAINED, ROUNDS = 1 / 5, 1  # of all training blocks, the share that attention learns from, over all rounds; rounds share no block
+ROUNDS = 5  # attention learns from every training block, each in one of the rounds
 SHARD_TOKENS = 4_000_000  # subwords that one shard of a round has, about
 RATE = 0.03
 COPIED, COPY_RISE = 0.08, 20  # share of the chance for words read before, and the words read at which it is half of that
@@ -312,9 +312,9 @@ def _pairs(class_of):
 
 
 def _segments(class_of, round_: int, shards: int):
-    """What a round trains on: a constant share of all segments of texts, drawn and dealt to shards by a hash of the text and of the
+    """What a round trains on: all segments of texts, or with more rounds its part of them, drawn and dealt to shards by a hash of the text and of the
     segment's number in it. A shard's classes, where its segments end, and the class before each."""
-    low, high = (np.uint64(int(TRAINED / ROUNDS * i * (1 << 24))) for i in (round_, round_ + 1))
+    low, high = (np.uint64((1 << 24) * i // ROUNDS) for i in (round_, round_ + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -496,7 +496,7 @@ def lm_scores(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc
     tables = share(M.Tables(pairs, class_opens))
 
     # attention, by rounds of training in shards whose weights are averaged, in two steps
-    shards = math.ceil(int(counts.sum()) * TRAINED / ROUNDS / SHARD_TOKENS)
+    shards = math.ceil(int(counts.sum()) / ROUNDS / SHARD_TOKENS)
     tasks, groups = min(shards, max(parts, shards // 16)), math.isqrt(max(0, shards - 1)) + 1
     weights = M.start_weights(tables.value)
     for i in range(ROUNDS if shards else 0):

@@ -567,3 +567,15 @@ def test_dedup_with_hot_keys(docs, monkeypatch):
     monkeypatch.setattr(near_dedup, "DEAL", 2)
     assert sorted(map(str, near_dedup.near_duplicates(docs).collect())) == near
     assert sorted(map(str, suffix_dedup.repeated_passages(docs).collect())) == passages
+
+
+def test_attention_learns_from_every_training_block():
+    class Shared:
+        value = np.arange(65536) % M.CLASSES
+
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 900, n).astype(np.uint16).tobytes() for n in rng.integers(1, 3000, 60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["ids"])
+    got = [x for i in range(lm.ROUNDS) for x in lm._segments(Shared, i, 4)(iter([batch]))]
+    start, end, *_ = M.segments(np.cumsum([0, *(len(t) // 2 for t in texts)]))
+    assert sum(len(v.as_py()) // 2 for x in got for v in x.column("classes")) == int((end - start).sum()) >= sum(len(t) // 2 for t in texts)
