@@ -124,6 +124,21 @@ def test_counting_makes_no_pairs(spark, monkeypatch):
     assert tuple(studies.filter_counts(p, sigs, 12, 3, 4).first()) == want
 
 
+def test_pairs_are_made_once_without_a_shuffle_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    sig = rng.integers(0, 3, (120, 12))
+    sigs = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sig)], "pid long, sig array<long>")
+    want = sorted((i, j) for i, j in itertools.combinations(range(120), 2) if (sig[i] == sig[j]).reshape(4, 3).all(1).any())
+    got = B.candidates(sigs, 12, 3, 4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == want and "Aggregate" not in plan
+    labels = sigs.where("pid <> 3").select("pid", F.struct((F.col("pid") % 3).alias("shop"), F.lit("").alias("brands")).alias("own"))
+    told = B.candidates(sigs, 12, 3, 4, labels, "own.shop <> own2.shop and own.brands = own2.brands")
+    assert sorted(map(tuple, told.collect())) == [(i, j) for i, j in want if 3 not in (i, j) and i % 3 != j % 3]
+    monkeypatch.setattr(B, "FIRST_BANDS", 1)
+    assert sorted(map(tuple, B.candidates(sigs, 12, 3, 4).collect())) == want
+
+
 def test_signatures_with_a_wide_universe(spark):
     ids = [0, 5, 2**33, 2**33 + 7]
     ab, p = B.hash_parameters(8, 2**33 + 8, 3)
