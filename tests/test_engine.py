@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from kinspark.config import Config
 from kinspark.operators import blocking as B
 from kinspark.operators import evaluate as E
+from kinspark.operators import scored as R
 from kinspark.operators import tokens as K
 from kinspark.operators.cluster import complete_linkage, components, link
-from kinspark.operators.pairs import score_pairs
+from kinspark.operators.pairs import attribute_matches, comparable, profiles, score_pairs
 from kinspark.plans import studies
 from kinspark.sources import catalogue as C
 from kinspark.streaming.blocks import incremental_candidates
@@ -147,6 +148,35 @@ def test_pairs_are_made_once_without_a_shuffle_of_pairs(spark, monkeypatch):
     assert sorted(map(tuple, B.candidates(sigs, 12, 3, 4).collect())) == want
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_are_made_in_buckets(spark, monkeypatch, small):
+    rng = np.random.default_rng(8)
+    word = lambda *xs: str(rng.choice(xs))
+    kinds = []
+    for _ in range(40):
+        names = list(rng.permutation(["Size", "Sizes", "Rate", "Width"]))[: rng.integers(0, 5)]
+        feats = [(n, k, word("32 inch", "32 inches", "60hz x1", "", "7")) for n, k in enumerate(names)]
+        kinds.append((word("A", "B", "C"), word("sony tv a1", "tv a1 b2", "Tv A1", ""), feats, rng.integers(0, 2, 6).tolist()))
+    kinds += [(None, "tv a1", kinds[0][2], kinds[0][3]), ("A", None, [(0, "Size", None)], kinds[0][3])]
+    rows = [(int(i), "m", *kinds[k]) for i, k in zip(rng.permutation(100), rng.integers(0, len(kinds), 100), strict=True)]  # with copies
+    p = spark.createDataFrame(rows, "pid long, model_id string, shop string, title string, features array<struct<pos:int,key:string,value:string>>, sig array<long>")
+    sigs, cfg = p.select("pid", "sig"), Config()
+    pairs = B.candidates(sigs, 6, 2, 3).cache()
+    want = sorted(tuple(r) for r in score_pairs(p, pairs, cfg).collect())
+    if small:
+        for name, value in (("BLOCK", 5), ("STEP", 7), ("TABLE", 0), ("BITS", 0)):
+            monkeypatch.setattr(R, name, value)
+    got = R.scored_candidates(p, sigs, 6, 2, 3, cfg)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 100 and len({r[3] for r in want}) > 5
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan.splitlines()[0]  # what comes out of the buckets goes nowhere else
+    assert sorted(map(tuple, R.scored_candidates(p, sigs, 6, 2, 3, cfg, 0.6).collect())) == [r for r in want if r[6] < 0.6]
+    assert sorted(map(tuple, R.title_candidates(p, sigs, 6, 2, 3, cfg).collect())) == sorted((r[0], r[1], r[5]) for r in want)
+    x = comparable(pairs, profiles(p)).select("i", "j", attribute_matches(F.col("a.attrs"), F.col("b.attrs"), cfg.gamma).alias("m"))
+    flat = lambda x: sorted((r.i, r.j, *m) for r in x.collect() for m in r.m)
+    assert flat(R.matched_candidates(p, sigs, 6, 2, 3, cfg)) == flat(x)
+
+
 def test_signatures_with_a_wide_universe(spark):
     ids = [0, 5, 2**33, 2**33 + 7]
     ab, p = B.hash_parameters(8, 2**33 + 8, 3)
