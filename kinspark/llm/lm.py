@@ -147,7 +147,7 @@ def _tokenised(file):
             for a, b in chunks(offsets, 2 << 20):
                 ids, ends, tokens = lexicon.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), part.column("row"), pa.array(tokens), binary_rows(ids, ends[1:])], names=["doc_id", "held_out", "row", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), part.column("row"), pa.array(tokens), binary_rows(ids, ends[1:]), pa.array(_digests(ids, ends).view(np.int64))], names=["doc_id", "held_out", "row", "n_tokens", "ids", "digest"])
 
     return run
 
@@ -164,6 +164,15 @@ def _sums(ids: np.ndarray) -> np.ndarray:
     return H.running(ids, ID_CODES)
 
 
+def _digests(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return H.spans(_sums(ids), offsets[:-1], offsets[1:])
+
+
+def _digests_of(batch: pa.RecordBatch, every: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The texts' hashes, worked out if they aren't stored with the ids."""
+    return batch.column("digest").to_numpy().view(np.uint64) if "digest" in batch.schema.names else _digests(every, offsets)
+
+
 def words(ids: np.ndarray, offsets: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First place, hash and text of each token (word or end): a word runs from a subword that opens one to the next."""
     first = np.flatnonzero(opens[ids])
@@ -273,9 +282,10 @@ def _some_words(opens):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every, own = _joined(batch.column("ids"))
+            digests = _digests_of(batch, every, own)
             for a, b in chunks(own, 1 << 20):
                 ids, offsets = every[own[a] : own[b]], own[a : b + 1] - own[a]
-                drawn = H.mixed(H.spans(_sums(ids), offsets[:-1], offsets[1:])) % np.uint64(SAMPLE) == 0
+                drawn = H.mixed(digests[a:b]) % np.uint64(SAMPLE) == 0
                 size = np.diff(offsets)
                 ids, offsets = ids[np.repeat(drawn, size)], np.concatenate([[0], np.cumsum(size[drawn])])
                 if len(ids):
@@ -319,10 +329,11 @@ def _segments(class_of, round_: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every, own = _joined(batch.column("ids"))
+            digests = _digests_of(batch, every, own)
             for a, b in chunks(own, 1 << 20):
                 ids, offsets = every[own[a] : own[b]], own[a : b + 1] - own[a]
                 start, end, text, number = M.segments(offsets)
-                draw = H.mixed(H.spans(_sums(ids), offsets[:-1], offsets[1:])[text] * H.BASE + number.astype(np.uint64))
+                draw = H.mixed(digests[a:b][text] * H.BASE + number.astype(np.uint64))
                 place = draw >> np.uint64(40)
                 take = np.flatnonzero((place >= low) & (place < high))
                 shard = ((draw[take] & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64)
@@ -331,9 +342,9 @@ def _segments(class_of, round_: int, shards: int):
                 if not len(which):
                     continue
                 n = end[take] - start[take]
-                classes = class_of.value[ids].astype(np.int16)
-                lead = np.where(start[take] > offsets[text[take]], classes[start[take] - 1], np.where(number[take] > 0, M.END_CLASS, -1)).astype(np.int16)
-                flat = classes[np.repeat(start[take] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                classes = class_of.value
+                lead = np.where(start[take] > offsets[text[take]], classes[ids[start[take] - 1]], np.where(number[take] > 0, M.END_CLASS, -1)).astype(np.int16)
+                flat = classes[ids[np.repeat(start[take] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]].astype(np.int16)
                 ends = np.append(begin[1:], len(take))
                 yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), binary_rows(flat, np.cumsum(n)[ends - 1]), binary_rows(n.astype(np.int16), ends), binary_rows(lead, ends)], names=["shard", "classes", "sizes", "leads"])
 
@@ -379,12 +390,34 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "weights"])
 
 
+BEGINS = 17  # bits of a hash that lead to its place among sorted ones
+
+
+def begins_of(known: np.ndarray) -> np.ndarray:
+    """Where the hashes (sorted) with each value of the first bits begin, and the end."""
+    return np.searchsorted(known >> np.uint64(64 - BEGINS), np.arange((1 << BEGINS) + 1, dtype=np.uint64))
+
+
+def found(known: np.ndarray, names: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Place of each name among known ones (sorted); any place if it isn't there."""
+    first = (names >> np.uint64(64 - BEGINS)).astype(np.int64)
+    at, end = begins[first], begins[first + 1]
+    left = np.flatnonzero(at < end)
+    left = left[known[at[left]] != names[left]]
+    while len(left):
+        at[left] += 1
+        left = left[at[left] < end[left]]
+        left = left[known[at[left]] != names[left]]
+    return np.minimum(at, len(known) - 1)
+
+
 class Scorer:
     """What scoring needs, one object for each broadcast: classes, emissions, weights, tables, the frequent words, and sums of counts."""
 
     def __init__(self, class_of, emission, weights, tables, opens, often, often_counts, sums, class_words, class_distinct):
         self.class_of, self.emission, self.weights, self.tables, self.opens = class_of, emission, weights, tables, opens
         self.often, self.often_counts = often, often_counts
+        self.begins = begins_of(often)
         _, _, once, twice = sums
         self.discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
         with np.errstate(divide="ignore"):
@@ -399,7 +432,7 @@ class Scorer:
         order = np.argsort(rare)
         for known, counts in ((self.often, self.often_counts), (rare[order], rare_counts[order])):
             if len(known):
-                at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+                at = found(known, names, self.begins) if known is self.often else np.minimum(np.searchsorted(known, names), len(known) - 1)
                 count = np.where(known[at] == names, counts[at], count)
         return of, self.copied(self.chances(ids, offsets, first, count), names, of), count
 
@@ -468,7 +501,7 @@ def lm_scores(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc
     own = codec(file)
     opens = opening_ids(own.bytes)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(F.col(doc_id), 2, 7).alias("held_out"), F.monotonically_increasing_id().alias("row"))
-    coded = stored(rows.mapInArrow(_tokenised(share(file)), "doc_id long, held_out boolean, row long, n_tokens long, ids binary"), "lm-ids", "zstd")
+    coded = stored(rows.mapInArrow(_tokenised(share(file)), "doc_id long, held_out boolean, row long, n_tokens long, ids binary, digest long"), "lm-ids", "zstd")
     training = coded.where("not held_out")
 
     # classes of subwords: the most frequent have their own, the rest share a few

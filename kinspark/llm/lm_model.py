@@ -9,15 +9,21 @@ what attention over the context adds; classes in a group go by their frequencies
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 BLOCK, WIDTH, CLASSES, SHARED = 8, 16, 1024, 4
 FIRST_GROUPS, REST_GROUPS = 96, 48  # groups of classes that open a word, and of those that go on with one, at most
 SMOOTH = 100  # pairs that all classes together are taken to have been seen in, besides those counted
 END_CLASS = 0
+PREPARED = 32  # steps of training that are prepared together
+APART = 12  # places of a class that are added up as slices over all classes
 _SEES = np.arange(2 * BLOCK)[None] <= np.arange(BLOCK)[:, None] + BLOCK
 _MASK = np.where(_SEES, 0.0, -1e9).astype(np.float32)
+_ONES = np.ones((2 * BLOCK, 2 * BLOCK), np.float32)
 _DISTANCE = np.clip(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None], 0, 2 * BLOCK - 1)
+_AWAY = (_DISTANCE.ravel()[:, None] == np.arange(2 * BLOCK)).astype(np.float32)
 
 
 def blocks(classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,121 +94,232 @@ def start_weights(tables: Tables, seed: int = 5) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def attend(w, x: np.ndarray, before: np.ndarray, opening: np.ndarray):
-    """Keys' classes, queries, keys, values, attention, and the context of each place (rows of WIDTH)."""
-    seen = np.concatenate([before, x], 1)
-    q, k, v = w["q"][x], w["k"][seen], w["v"][seen]
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(WIDTH**-0.5)
-    s += w["r"][_DISTANCE] + _MASK
-    s[opening, :, :BLOCK] = -1e9
-    np.minimum(s, 60, out=s)
+def attend(table: np.ndarray, distances: np.ndarray, seen: np.ndarray, opening: np.ndarray, turned: np.ndarray):
+    """Queries, keys, values, attention, and the context of each place (rows of WIDTH) for inputs seen in blocks and those before them.
+    table: rows of queries, keys and values; opening: the blocks that see none before; turned: room for keys."""
+    n, kind = len(turned), table.dtype.type
+    rows = table.take(seen.ravel(), 0).reshape(n, 2 * BLOCK, 3 * WIDTH)
+    q, k, v = rows[:, BLOCK:, :WIDTH], rows[:, :, WIDTH : 2 * WIDTH], rows[:, :, 2 * WIDTH :]
+    np.multiply(k.transpose(0, 2, 1), kind(WIDTH**-0.5), out=turned)
+    s = q @ turned
+    s += distances.take(_DISTANCE) + _MASK.astype(kind, copy=False)
+    if len(opening):
+        s[opening, :, :BLOCK] = -1e9
+    if s.max() > 60:
+        np.minimum(s, 60, out=s)
     np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
-    return seen, q, k, v, s, (s @ v).reshape(-1, WIDTH)
-
-
-def _kinds(tables: Tables, target: np.ndarray):
-    """Places whose target opens a word, with the tables for it; then those whose target goes on with one."""
-    ends = tables.opens[np.maximum(target, 0)]
-    return ends, (("first", tables.first, np.flatnonzero((target >= 0) & ends)), ("rest", tables.rest, np.flatnonzero((target >= 0) & ~ends)))
+    s /= (s.reshape(-1, 2 * BLOCK) @ _ONES.astype(kind, copy=False)).reshape(s.shape)  # sums, side by side as often as needed
+    return q, k, v, s, (s @ v).reshape(-1, WIDTH)
 
 
 def log_chances(w, tables: Tables, x: np.ndarray, target: np.ndarray, opening: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """For each place the natural log chance of its target's class, given that the word ends or goes on before it as it does; and the
     log chance that it does (0 at a text's beginning). Padding gets 0 in both."""
-    chance, on = np.zeros(target.size, np.float32), np.zeros(target.size, np.float32)
-    before = befores(x, opening)
+    chance, odds = np.zeros(target.size, np.float32), np.zeros(target.size, np.float32)
+    seen, last, t = np.concatenate([befores(x, opening), x], 1), x.ravel(), target.ravel()
+    ends = tables.opens[np.maximum(t, 0)]
+    inside = tables.inside.ravel().take(last * tables.inside.shape[1] + np.maximum(t, 0))
+    group = tables.group[np.maximum(t, 0)]
+    table, turned = np.concatenate([w[k] for k in "qkv"], 1), np.empty((step, WIDTH, 2 * BLOCK), np.float32)
     flat = {k: np.ascontiguousarray(w[k].T) for k in ("first", "rest")}
     for a in range(0, len(x), step):
-        s = slice(a, a + step)
-        context = attend(w, x[s], before[s], opening[s])[-1]
-        last, t, base = x[s].ravel(), target[s].ravel(), a * BLOCK
-        ends, kinds = _kinds(tables, t)
-        odds = tables.on[last] + context @ w["on"]
-        on[base : base + len(t)] = np.where((t < 0) | (last == END_CLASS), 0, -np.log1p(np.exp(np.where(ends, odds, -odds))))
-        for name, logs, at in kinds:
-            logits = logs[last[at]]
-            logits += context[at] @ flat[name]
-            hit = logits[np.arange(len(at)), tables.group[t[at]]] + tables.inside[last[at], t[at]]
+        n, places = len(x[a : a + step]), slice(a * BLOCK, (a + step) * BLOCK)
+        context = attend(table, w["r"], seen[a : a + n], np.flatnonzero(opening[a : a + n]), turned[:n])[-1]
+        odds[places] = context @ w["on"]
+        real, own_ends = t[places] >= 0, ends[places]
+        for name, logs, kind in (("first", tables.first, real & own_ends), ("rest", tables.rest, real & ~own_ends)):
+            at = np.flatnonzero(kind)
+            own = context.take(at, 0)
+            at += a * BLOCK
+            logits = logs.take(last.take(at), 0)
+            logits += own @ flat[name]
+            hit = logits.ravel().take(np.arange(0, logits.size, logits.shape[1]) + group.take(at))
             np.exp(logits, out=logits)
-            chance[base + at] = hit - np.log(logits.sum(1))
-    return chance, on
-
-
-def _by_class(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of rows that share a class."""
-    order = np.argsort(classes.astype(np.int16), kind="stable")
-    sorted_ = classes[order]
-    at = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    out = np.zeros((CLASSES, rows.shape[1]), rows.dtype)
-    out[sorted_[at]] = np.add.reduceat(rows[order], at)
-    return out
+            chance[at] = hit - np.log(logits @ np.ones(logits.shape[1], np.float32))
+    odds += tables.on.take(last)
+    np.negative(odds, out=odds, where=~ends)
+    np.exp(odds, out=odds)
+    np.log1p(odds, out=odds)
+    chance += inside
+    chance[t < 0] = odds[(t < 0) | (last == END_CLASS)] = 0
+    return chance, np.negative(odds, out=odds)
+
+
+def _packed(w) -> np.ndarray:
+    """Weights as one array: a row of queries, keys and values for each class, then the others."""
+    return np.concatenate([np.concatenate([w[k] for k in "qkv"], 1).ravel(), *[w[k].ravel() for k in ("first", "rest", "on", "r")]])
+
+
+def _views(flat: np.ndarray, tables: Tables) -> tuple[np.ndarray, ...]:
+    """Rows of queries, keys and values, then first, rest, on and r, as views of packed weights."""
+    shapes = (CLASSES, 3 * WIDTH), (tables.first.shape[1], WIDTH), (tables.rest.shape[1], WIDTH), (WIDTH,), (2 * BLOCK,)
+    parts = np.split(flat, np.cumsum([math.prod(x) for x in shapes])[:-1])
+    return tuple(x.reshape(shape) for x, shape in zip(parts, shapes, strict=True))
+
+
+class Steps:
+    """Gradients for steps of equally many windows. What doesn't depend on the weights is worked out for all steps together: places by
+    kind of target, tables behind them, and places by class of input."""
+
+    def __init__(self, tables: Tables, x: np.ndarray, before: np.ndarray, target: np.ndarray, opening: np.ndarray, batch: int, kind=np.float32):
+        n, self.tables = len(x) // batch, tables
+        self.seen = np.concatenate([before, x], 1).reshape(n, -1)
+        self.opening = [np.flatnonzero(o) for o in opening.reshape(n, batch)]
+        last, t = x.reshape(n, -1), target.reshape(n, -1)
+        kinds = np.where(t < 0, 2, np.where(tables.opens[np.maximum(t, 0)], 0, 1)).astype(np.int16)
+        self.order = np.argsort(kinds, axis=1, kind="stable")  # places whose target opens a word, then those where one goes on, then padding
+        self.back = np.empty_like(self.order)
+        self.first, self.real = (kinds == 0).sum(1), (kinds < 2).sum(1)
+        place = self.order + np.arange(n)[:, None] * t.shape[1]
+        self.back.ravel()[place] = np.arange(t.shape[1])
+        self.last, self.target = last.ravel().take(place), t.ravel().take(place)
+        place, wide = np.arange(t.shape[1]), np.array([tables.first.shape[1], tables.rest.shape[1]])
+        opens = place < self.first[:, None]
+        self.hit = np.where(opens, place * wide[0], (place - self.first[:, None]) * wide[1]) + tables.group[self.target]
+        self.on, self.sign = tables.on[self.last].astype(kind), np.where(opens, 1, -1).astype(kind)
+        self.inside = (self.last != END_CLASS) & (self.target >= 0)
+        self.weight = (self.sign * self.inside / np.maximum(1, self.real)[:, None]).astype(kind)
+        # places of inputs: first one of each class, the most frequent classes first, then their second ones, and so on up to APART; then
+        # the others by class. So sums by class are sums of slices, for all but the frequent classes' late places.
+        size = self.seen.shape[1]
+        bits = size.bit_length()
+        key = np.sort((self.seen << bits) + np.arange(size), axis=1)
+        changes = np.ones(key.shape, bool)
+        changes[:, 1:] = key[:, 1:] >> bits != key[:, :-1] >> bits
+        begin = np.flatnonzero(changes)
+        held, step = np.diff(begin, append=key.size), begin // size
+        rank = np.minimum(np.arange(key.size) - np.repeat(begin, held), APART)
+        key += (rank * (size + 1) + size - np.repeat(held, held)).reshape(key.shape) * (CLASSES << bits)
+        key.sort(axis=1)
+        self.places = key & ((1 << bits) - 1)
+        much = np.bincount(step * (APART + 1) + np.minimum(held, APART + 1) - 1, minlength=n * (APART + 1)).reshape(n, -1)
+        self.held = much[:, ::-1].cumsum(1)[:, ::-1]  # classes with more than 0, 1, ... APART places
+        late = np.flatnonzero(held > APART)
+        late = late[np.lexsort((-held[late], step[late]))]
+        late, many = held[late] - APART, self.held[:, APART]
+        before = np.concatenate([[0], np.cumsum(late)])
+        ends = np.cumsum(many)
+        self.late = np.split(before[:-1] - np.repeat(before[ends - many], many), ends[:-1])
+        self.grads = np.zeros((batch, 2 * BLOCK, 3 * WIDTH), kind)
+        self.turned, self.outer = np.empty((batch, WIDTH, 2 * BLOCK), kind), (np.zeros((batch * BLOCK, WIDTH), kind), np.zeros((WIDTH, WIDTH), kind))
+        self.ones, self.pair = np.ones((max(*wide, WIDTH, batch), max(WIDTH, 2 * BLOCK)), kind), np.result_type(kind, np.complex64)
+        self.logs = [x.astype(kind, copy=False) for x in (tables.first, tables.rest)]
+
+    def run(self, i: int, weights, tail: np.ndarray, want_loss: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+        """Step i: the classes it meets and the gradient of their rows of queries, keys and values; its loss if wanted. The gradient of the
+        other weights goes to tail."""
+        table, w_first, w_rest, w_on, w_r = weights
+        tables, kind, ones, loss = self.tables, self.grads.dtype.type, self.ones, 0.0
+        batch, scale = len(self.grads), kind(WIDTH**-0.5)
+        q, k, v, att, context = attend(table, w_r, self.seen[i], self.opening[i], self.turned)
+        by_kind, last, n, m = context.take(self.order[i], 0), self.last[i], int(self.first[i]), int(self.real[i])
+        odds = by_kind @ w_on
+        odds += self.on[i]
+        odds *= self.sign[i]
+        if want_loss:
+            loss += float(np.logaddexp(0, odds)[self.inside[i]].sum())
+        np.negative(odds, out=odds)
+        np.exp(odds, out=odds)
+        odds += 1
+        d_on = self.weight[i] / odds
+        self.outer[0][:, 0], self.outer[1][0] = d_on, w_on
+        d = self.outer[0] @ self.outer[1]  # faster than one row times one column
+        at = 0
+        for logs, w, a, b in ((self.logs[0], w_first, 0, n), (self.logs[1], w_rest, n, m)):
+            own, g = by_kind[a:b], tail[at : at + w.size].reshape(w.shape)
+            p = logs.take(last[a:b], 0)
+            p += own @ w.T
+            hit = self.hit[i, a:b]
+            if want_loss:
+                loss -= float(p.ravel()[hit].sum() + tables.inside[last[a:b], self.target[i, a:b]].sum())
+            np.exp(p, out=p)
+            sums = p @ ones[: len(w), :WIDTH]  # in all WIDTH columns
+            if want_loss:
+                loss += float(np.log(sums[:, 0]).sum())
+            p.ravel()[hit] -= sums[:, 0]
+            sums *= kind(max(1, m))
+            np.matmul(p.T, own / sums, out=g)
+            part = p @ w
+            part /= sums
+            d[a:b] += part
+            at += w.size
+        np.matmul(d_on, by_kind, out=tail[at : at + WIDTH])
+
+        d = d.take(self.back[i], 0)
+        context *= d
+        dots = context @ ones[:WIDTH, : 2 * BLOCK]
+        d = d.reshape(batch, BLOCK, WIDTH)
+        np.copyto(self.turned, v.transpose(0, 2, 1))
+        d_s = d @ self.turned
+        d_s -= dots.reshape(d_s.shape)
+        d_s *= att
+        np.matmul(d_s.reshape(batch, -1).sum(0), _AWAY.astype(kind, copy=False), out=tail[at + WIDTH :])
+        d_s *= scale
+        grads = self.grads
+        np.matmul(d_s, k, out=grads[:, BLOCK:, :WIDTH])
+        np.matmul(d_s.transpose(0, 2, 1), q, out=grads[:, :, WIDTH : 2 * WIDTH])
+        np.matmul(att.transpose(0, 2, 1), d, out=grads[:, :, 2 * WIDTH :])
+        places, held = self.places[i], self.held[i].tolist()
+        rows = grads.reshape(-1, 3 * WIDTH).take(places, 0)
+        g, at = rows[: held[0]], held[0]
+        for n in held[1:APART]:
+            g[:n] += rows[at : at + n]
+            at += n
+        if at < len(rows):
+            g[: held[APART]] += np.add.reduceat(rows[at:].view(self.pair), self.late[i]).view(kind)  # two numbers at a time
+        return self.seen[i].take(places[: held[0]]), g, loss / max(1, m)
 
 
 def gradients(w, tables: Tables, x, before, target, opening) -> tuple[float, dict[str, np.ndarray]]:
     """Mean log loss of the targets, and its gradient. Padding (-1) doesn't count."""
-    seen, q, k, v, att, context = attend(w, x, before, opening)
-    last, t = x.ravel(), target.ravel()
-    ends, kinds = _kinds(tables, t)
-    inside = (t >= 0) & (last != END_CLASS)
-    n = context.dtype.type(max(1, (t >= 0).sum()))
-    odds = np.where(ends, 1, -1) * (tables.on[last] + context @ w["on"])
-    loss = float(np.logaddexp(0, odds[inside]).sum())
-    d_on = (np.where(inside, np.where(ends, 1, -1) / (1 + np.exp(-odds)), 0) / n).astype(context.dtype)
-    g, d = {"on": d_on @ context}, d_on[:, None] * w["on"]
-    for name, logs, at in kinds:
-        own = context[at]
-        p = logs[last[at]]
-        p = p + own @ w[name].T
-        hit = np.arange(len(at)), tables.group[t[at]]
-        loss -= float(p[hit].sum() + tables.inside[last[at], t[at]].sum())
-        np.exp(p, out=p)
-        sums = p.sum(1, keepdims=True)
-        loss += float(np.log(sums).sum())
-        p *= 1 / (sums * n)
-        p[hit] -= 1 / n
-        g[name] = p.T @ own
-        d[at] += p @ w[name]
-    d = d.reshape(*x.shape, WIDTH)
-    d_att = d @ v.transpose(0, 2, 1)
-    d_v = att.transpose(0, 2, 1) @ d
-    d_s = att * (d_att - (d_att * att).sum(2, keepdims=True))
-    g["r"] = np.bincount(_DISTANCE.ravel(), d_s.sum(0).ravel(), 2 * BLOCK).astype(context.dtype)
-    scale = context.dtype.type(WIDTH**-0.5)
-    d_s *= scale
-    g["q"] = _by_class(x.ravel(), (d_s @ k).reshape(-1, WIDTH))
-    both = _by_class(seen.ravel(), np.concatenate([d_s.transpose(0, 2, 1) @ q, d_v], 2).reshape(-1, 2 * WIDTH))
-    g["k"], g["v"] = both[:, :WIDTH], both[:, WIDTH:]
-    return loss / float(n), g
+    flat = _packed(w)
+    weights, g = _views(flat, tables), np.zeros_like(flat)
+    classes, rows, loss = Steps(tables, x, before, target, opening, len(x), flat.dtype.type).run(0, weights, g[weights[0].size :], True)
+    table, *rest = _views(g, tables)
+    table[classes] = rows
+    return loss, dict(zip(("q", "k", "v", "first", "rest", "on", "r"), [*np.split(table, 3, 1), *rest], strict=True))
 
 
 def train(w, tables: Tables, windows: np.ndarray, rate: float, batch: int = 64, seed: int = 1) -> dict[str, np.ndarray]:
     """One pass of Adam over windows."""
-    names = sorted(w)
-    cuts = np.cumsum([w[k].size for k in names])
-    flat = np.concatenate([w[k].ravel() for k in names])
-    views = {k: part.reshape(w[k].shape) for k, part in zip(names, np.split(flat, cuts[:-1]), strict=True)}  # of flat, which changes in place
-    m, s = np.zeros_like(flat), np.zeros_like(flat)
+    flat = _packed(w)
+    m, s, change, tail = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), np.empty(flat.size - CLASSES * 3 * WIDTH, flat.dtype)
+    views, (m_rows, *_), (s_rows, *_) = (_views(y, tables) for y in (flat, m, s))
+    m_tail, s_tail = m[m_rows.size :], s[s_rows.size :]
     order = np.random.default_rng(seed).permutation(len(windows))
-    steps = -(-len(order) // batch)
+    steps, full, since = -(-len(order) // batch), len(order) // batch, 0
     for i in range(steps):
-        before, x, target, opening = unpacked(windows[order[i * batch : (i + 1) * batch]])
-        _, g = gradients(views, tables, x, before, target, opening)
-        g = np.concatenate([g[k].ravel() for k in names])
-        now = np.float32((rate * (1 - i / steps) + rate * 0.05) / (1 - 0.9 ** (i + 1)))
-        m += np.float32(0.1) * (g - m)
-        g *= g
-        g -= s
-        g *= np.float32(0.01)
-        s += g
-        np.multiply(s, np.float32(1 / (1 - 0.99 ** (i + 1))), out=g)
-        np.sqrt(g, out=g)
-        g += np.float32(1e-8)
-        np.divide(m, g, out=g)
-        g *= now
-        flat -= g
-    return {k: v.copy() for k, v in views.items()}
+        at = i % PREPARED
+        if not at or i == full:
+            size = batch if i < full else len(order) - full * batch
+            before, x, target, opening = unpacked(windows[order[i * batch : i * batch + size * min(PREPARED, max(1, full - i))]])
+            at, ahead = 0, Steps(tables, x, before, target, opening, size, flat.dtype.type)
+            m *= np.float32(0.9**since)
+            s *= np.float32(0.99**since)
+            since = 0
+        classes, g, _ = ahead.run(at, views, tail)
+        since += 1  # m and s stand for themselves times these powers, so only rows with a gradient change
+        m_share, s_share = 0.9**since, 0.99**since
+        for g, m_at, s_at, own in ((g, m_rows, s_rows, classes), (tail, m_tail, s_tail, None)):
+            now = g * np.float32(0.1 / m_share)
+            g *= g
+            g *= np.float32(0.01 / s_share)
+            if own is None:
+                m_at += now
+                s_at += g
+            else:
+                now += m_at.take(own, 0)
+                g += s_at.take(own, 0)
+                m_at[own], s_at[own] = now, g
+        root = math.sqrt((1 - 0.99 ** (i + 1)) / s_share)
+        now = (rate * (1 - i / steps) + rate * 0.05) / (1 - 0.9 ** (i + 1)) * m_share * root
+        np.sqrt(s, out=change)
+        change += np.float32(1e-8 * root)
+        np.divide(m, change, out=change)
+        change *= np.float32(now)
+        flat -= change
+    table, *rest = views
+    return {k: v.copy() for k, v in zip(("q", "k", "v", "first", "rest", "on", "r"), [*np.split(table, 3, 1), *rest], strict=True)}
 
 
 SEGMENT = 32 * BLOCK  # subwords of one text that training draws together

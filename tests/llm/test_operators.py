@@ -448,6 +448,47 @@ def test_attention_gradients(monkeypatch):
         assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(g[k][at], rel=1e-3, abs=1e-7)
 
 
+def test_training_steps_equal_plain_adam(monkeypatch):
+    """Steps that are prepared together, sums by slices and powers of the averages kept apart change nothing."""
+    r, opens, tables, w = small_model(monkeypatch)
+    w = {k: x.astype(float) for k, x in w.items()}
+    monkeypatch.setattr(M, "PREPARED", 3)
+    classes = r.integers(1, 12, 1300)
+    classes[r.random(1300) < 0.5] = 4  # frequent beyond APART
+    ends = np.array([500, 517, 1300])
+    classes[ends - 1] = M.END_CLASS
+    windows = M.windows_of(classes, ends, np.array([-1, 3, -1]))
+    order = np.random.default_rng(1).permutation(len(windows))
+    before, x, target, opening = M.unpacked(windows[order])
+    steps = M.Steps(tables, x[:60], before[:60], target[:60], opening[:60], 20, float)
+    assert all(len(late) for late in steps.late)
+    want, m, s = {k: v.copy() for k, v in w.items()}, {k: 0 for k in w}, {k: 0 for k in w}
+    tail = np.zeros(sum(w[k].size for k in ("first", "rest", "on", "r")))
+    total = -(-len(order) // 20)
+    assert total > 6 and len(order) % 20
+    for i in range(total):
+        at = slice(i * 20, i * 20 + 20)
+        _, g = M.gradients(want, tables, x[at], before[at], target[at], opening[at])
+        if i < 3:
+            met, rows, _ = steps.run(i, M._views(M._packed(want), tables), tail)
+            assert sorted(met) == sorted(set(np.concatenate([x[at], before[at]]).ravel())) and np.allclose(rows, np.concatenate([g[k] for k in "qkv"], 1)[met])
+            assert np.allclose(tail, np.concatenate([g[k].ravel() for k in ("first", "rest", "on", "r")]))
+        for k in w:
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * s[k] + 0.01 * g[k] ** 2
+            rate = 0.03 * (1 - i / total) + 0.03 * 0.05
+            want[k] -= rate * (m[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(s[k] / (1 - 0.99 ** (i + 1))) + 1e-8)
+    got = M.train(w, tables, windows, 0.03, batch=20)
+    assert all(np.allclose(got[k], want[k], atol=1e-4) for k in w)
+
+
+def test_hashes_are_found_among_sorted_ones():
+    r = np.random.default_rng(4)
+    known = np.unique(np.concatenate([r.integers(0, 2**63, 500, dtype=np.uint64) * np.uint64(2), np.arange(40, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(9, dtype=np.uint64)]))
+    names = np.concatenate([known, known + np.uint64(1), r.integers(0, 2**63, 300, dtype=np.uint64)])
+    hit = known[lm.found(known, names, lm.begins_of(known))] == names
+    assert (hit == np.isin(names, known)).all() and hit.sum() >= len(known)
+
+
 def direct(w, tables, classes):
     """log chances of one text's classes, place by place."""
     out, inputs = [], [M.END_CLASS, *classes[:-1]]
