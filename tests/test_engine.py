@@ -148,6 +148,25 @@ def test_pairs_are_made_once_without_a_shuffle_of_pairs(spark, monkeypatch):
     assert sorted(map(tuple, B.candidates(sigs, 12, 3, 4).collect())) == want
 
 
+def test_products_of_one_signature_meet_as_one(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    kinds = rng.integers(0, 3, (6, 6)).tolist()
+    rows = [(i, kinds[i % 6], ["A", "B", None][i % 3]) for i in range(90)]
+    x = spark.createDataFrame(rows, "pid long, sig array<long>, shop string")
+    labels = x.where("pid <> 4").select("pid", F.struct("shop", F.lit("").alias("brands")).alias("own"))
+    agree = lambda i, j: any(rows[i][1][k : k + 2] == rows[j][1][k : k + 2] for k in (0, 2, 4))
+    want = [(i, j) for i, j in itertools.combinations(range(90), 2) if agree(i, j)]
+    told = [(i, j) for i, j in want if 4 not in (i, j) and {rows[i][2], rows[j][2]} == {"A", "B"}]
+    plan = B.candidates(x, 6, 2, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Generate") < plan.index("Join")  # products are spelled out after the join of signatures
+    assert B._pieces(B.coded(x, 6)[0]).count() == 6
+    for piece, large, first in ((256, 4096, 64), (4, 3, 64), (4, 3, 1)):
+        for name, value in (("PIECE", piece), ("LARGE_BUCKET", large), ("FIRST_BANDS", first)):
+            monkeypatch.setattr(B, name, value)
+        assert sorted(map(tuple, B.candidates(x, 6, 2, 3).collect())) == want
+        assert sorted(map(tuple, B.candidates(x, 6, 2, 3, labels, "own.shop <> own2.shop and own.brands = own2.brands").collect())) == told
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_scores_are_made_in_buckets(spark, monkeypatch, small):
     rng = np.random.default_rng(8)
