@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinspark.config import Config
 from kinspark.operators import blocking as B
+from kinspark.operators import cluster
 from kinspark.operators import evaluate as E
 from kinspark.operators import scored as R
 from kinspark.operators import tokens as K
@@ -229,6 +230,25 @@ def test_linkage_agrees_with_the_definition():
             assert sorted(groups.values()) == naive_linkage(n, dist, eps)
 
 
+def test_linkage_reads_pairs_in_order(spark, monkeypatch):
+    rng, levels = np.random.default_rng(10), [0.25, 0.38, 0.52]
+    n, shop = 60, rng.integers(0, 4, 60)
+    dist = {p: float(rng.choice([-0.5, 0.1, 0.2, 0.25, 0.3, 0.4, 0.6])) for p in itertools.combinations(range(n), 2) if shop[p[0]] != shop[p[1]] and rng.random() < 0.8}
+    products = spark.createDataFrame([(10 * i, str(shop[i])) for i in range(n)] + [(5, None)], "pid long, shop string")
+    scored = spark.createDataFrame([(10 * i, 10 * j, d) for (i, j), d in dist.items()], "i long, j long, dist double").repartition(4)
+    want = {(e, 10 * x): 10 * g for e in levels for group in naive_linkage(n, dist, e) for g in [min(group)] for x in group} | {(e, 5): 5 for e in levels}
+    sizes = []
+    for streamed, apart in ((10**6, None), (100, "shop")):
+        monkeypatch.setattr(cluster, "STREAMED", streamed)
+        keep = cluster.stored
+        monkeypatch.setattr(cluster, "stored", lambda df, keep=keep: (lambda out: (sizes.append(out.count()) if out.columns == ["i", "j", "dist"] else None, out)[1])(keep(df)))
+        got = {(r.eps, r.pid): r.cluster_id for r in link(products, scored, levels, apart).collect()}
+        assert {k: {x for x in want if want[x] == want[k] and x[0] == k[0]} for k in want} == {k: {x for x in got if got[x] == got[k] and x[0] == k[0]} for k in got}
+        monkeypatch.setattr(cluster, "stored", keep)
+    assert len(sizes) > 3 and sizes[-1] < sizes[0] / 4  # pairs that can't matter any more are left out
+    assert "Pandas" not in link(products, scored, levels)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(10, 25)] + [(1, 2)], "i long, j long")
     assert {(r.pid, r.component) for r in components(chain).collect()} == {(i, 10) for i in range(10, 26)} | {(1, 1), (2, 1)}
